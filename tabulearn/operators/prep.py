@@ -90,16 +90,14 @@ def char_ngrams(df: DataFrame, id_col: str, text: str, low: int = 1, high: int =
 
     A padded word shorter than n gives itself once.
     """
-    def grams(word):
+    def of_size(word, n):
         size = F.length(word)
-        per_n = [
-            F.when(
-                F.lit(n) <= size,
-                F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(word, i, F.lit(n))),
-            ).otherwise(F.array(word) if n == low else F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*per_n)
+        whole = F.array(word) if n == low else F.array().cast("array<string>")
+        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+        return F.when(size >= n, F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))).otherwise(whole)
+
+    def grams(word):
+        return F.concat(*[of_size(word, n) for n in range(low, high + 1)])
 
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     tokens = F.flatten(F.transform(words, lambda w: grams(F.concat(F.lit(" "), w, F.lit(" ")))))

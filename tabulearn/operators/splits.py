@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulearn.functions.columns import required
+from tabulearn.functions.columns import distinct_labels, required
 from tabulearn.functions.tables import (
     bucket_of, collapse, ordered_totals, quantile_cuts, worth_collapsing)
 from tabulearn.session import kept
@@ -205,3 +205,21 @@ def best_weighted_stump(table: DataFrame, features: list, cuts: dict = None) ->
     best = F.min(F.struct(F.round("e.error", TIE_DIGITS).alias("cost"), "feature", F.col("value").alias("threshold"),
                           F.col("e.gt").alias("gt"), F.col("e.error").alias("error"))).alias("b")
     return t.select("feature", "value", both.alias("e")).agg(best).select("b.*").drop("cost")
+
+
+def best_split(df: DataFrame, features: list, target: str, criterion: str = "variance", node: str = None,
+               edges: bool = False) -> DataFrame:
+    """(node, feature, point, gain, loss, parent_loss): the best split of every group of rows."""
+    group = F.col(node).cast("long") if node else F.lit(1).cast("long")
+    if criterion == "variance":
+        mean = df.agg(F.avg(required(target)).alias("m")).first()["m"]
+        y = required(target) - F.lit(mean)
+        rule, stats = Variance, {"n": F.lit(1.0), "s": y, "q": y * y}
+    else:
+        classes = distinct_labels(df, target)
+        rule = ClassCounts(criterion, len(classes))
+        stats = {k: F.when(F.col(target) == F.lit(c), 1.0).otherwise(0.0) for k, c in zip(rule.names, classes)}
+    rows = df.select(group.alias("node"), *[required(f).alias(f) for f in features], *[c.alias(s) for s, c in stats.items()])
+    names = F.array(*[F.lit(f) for f in features])
+    return best_splits(rows, features, rule, list(stats), edges=edges).select(
+        "node", F.get(names, F.col("feature")).alias("feature"), "point", "gain", "loss", "parent_loss")
