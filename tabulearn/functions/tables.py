@@ -18,14 +18,20 @@ def worth_collapsing(rows: int, distinct: int) -> bool:
     return distinct * 2 <= rows
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: Column,
-                how: str = "inner", salts: int = 16) -> DataFrame:
+BROADCAST_ROWS = 200_000
+
+
+def keyed_join(big: DataFrame, small: DataFrame, key: str, salt_from: Column, how: str = "inner", salts: int = 16,
+               broadcast_rows: int = None) -> DataFrame:
     """Equi-join where one key of ``big`` may hold a large share of the rows.
 
-    ``small`` has one row per key and is repeated once per salt; ``big`` is
-    spread over the salts. Spark still turns it into a broadcast join when the
-    measured size of ``small`` is under its threshold.
+    ``small`` has one row per key and is cheap to count (written out). Up to
+    ``broadcast_rows`` rows it is copied to every task; beyond, ``big`` is
+    spread over salts and ``small`` is repeated once per salt.
     """
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if small.count() <= limit:
+        return big.join(F.broadcast(small), key, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import argmax_label, distinct_labels, feature_array, label_array
-from tabulearn.functions.tables import salted_join
+from tabulearn.functions.tables import keyed_join
 from tabulearn.operators.naive_bayes import per_class_rows
 from tabulearn.session import checkpointed, kept
 
@@ -44,7 +44,7 @@ class MaxentModel:
 
 
 def _scores(docs, counts, weights, id_col, k):
-    known = salted_join(counts.select(id_col, "token", "n"), weights, "token", F.col(id_col))
+    known = keyed_join(counts.select(id_col, "token", "n"), weights, "token", F.col(id_col))
     parts = known.select(id_col, *[(F.col("n") * F.element_at("w", i + 1)).alias(f"s{i}") for i in range(k)])
     empty = docs.select(id_col, *[F.lit(0.0).alias(f"s{i}") for i in range(k)])
     return parts.unionByName(empty).groupBy(id_col).agg(F.array(*[F.sum(f"s{i}") for i in range(k)]).alias("jll"))

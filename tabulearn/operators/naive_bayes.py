@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import (
     argmax_label, distinct_labels, label_array, literal_array, log_sum_exp, required)
-from tabulearn.functions.tables import salted_join
+from tabulearn.functions.tables import keyed_join
 from tabulearn.session import checkpointed
 
 
@@ -96,15 +96,25 @@ def gaussian_nb_cross_validate(df: DataFrame, features: list, label: str, key: s
         F.count("*").alias("n"),
         *[F.avg(required(f)).alias(f"m{i}") for i, f in enumerate(features)],
         *[F.var_pop(required(f)).alias(f"v{i}") for i, f in enumerate(features)]).collect()
-    prediction = F.lit(None)
-    for held in range(folds):
-        model = _merged_model([r for r in rows if r["fold"] != held], features, label)
-        # One projection over literals per fold; the rows are read once.
-        base = model.predict(base, f"_p{held}")
-        prediction = F.when(F.col("fold") == held, F.col(f"_p{held}")).otherwise(prediction)
-    return base.groupBy("fold").agg(
+    models = [_merged_model([r for r in rows if r["fold"] != held], features, label) for held in range(folds)]
+    classes = sorted({c for m in models for c in m.classes})
+    # The parameters of the row's own fold, looked up in literal arrays: one
+    # pass over the rows scores every fold.
+    per_class = []
+    for c in classes:
+        at = [m.classes.index(c) if c in m.classes else None for m in models]
+        col = F.get(literal_array([
+            -math.inf if i is None else math.log(m.prior[i]) - 0.5 * sum(math.log(2.0 * math.pi * v) for v in m.var[i])
+            for m, i in zip(models, at)]), "fold")
+        for j, f in enumerate(features):
+            d = required(f) - F.get(literal_array([0.0 if i is None else m.mean[i][j] for m, i in zip(models, at)]), "fold")
+            col = col - F.lit(0.5) * d * d / F.get(
+                literal_array([1.0 if i is None else m.var[i][j] for m, i in zip(models, at)]), "fold")
+        per_class.append(col)
+    scored = base.withColumn("jll", F.array(*per_class))
+    return scored.groupBy("fold").agg(
         F.count("*").alias("n"),
-        F.avg(prediction.eqNullSafe(F.col(label)).cast("int")).alias("accuracy"))
+        F.avg(argmax_label(F.col("jll"), classes).eqNullSafe(F.col(label)).cast("int")).alias("accuracy"))
 
 
 def _merged_model(rows, features, label):
@@ -149,7 +159,7 @@ class CountModel:
             amount = F.lit(1.0)
             counts = counts.filter(F.col("n") > F.lit(self.binary_above))
         k = len(self.classes)
-        known = salted_join(counts.select(id_col, "token", "n"), self.tokens.select("token", "weight"),
+        known = keyed_join(counts.select(id_col, "token", "n"), self.tokens.select("token", "weight"),
                             "token", F.col(id_col))
         parts = known.select(id_col, *[(amount * F.element_at("weight", i + 1)).alias(f"s{i}") for i in range(k)])
         empty = docs.select(id_col, *[F.lit(0.0).alias(f"s{i}") for i in range(k)])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import (
     distinct_labels, feature_array, label_code, literal_array, plus_minus)
-from tabulearn.functions.tables import salted_join
+from tabulearn.functions.tables import keyed_join
+from tabulearn.session import checkpointed
 
 # A word is a run of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -72,12 +73,16 @@ def frequent_tokens(counts: DataFrame, id_col: str, min_df: int) -> DataFrame:
     """Keep the tokens found in at least ``min_df`` documents.
 
     ``counts`` has one row per (document, token), so the row count is the
-    document frequency, and the hot tokens are spread by a salt.
+    document frequency, and the hot tokens are spread by a salt. The counts are
+    written out first: the texts are cut once, and the join sees counted rows
+    (the optimizer would otherwise move it below the count).
     """
     if min_df <= 1:
         return counts
-    vocab = counts.groupBy("token").agg(F.count("*").alias("_df")).filter(F.col("_df") >= min_df).select("token")
-    return salted_join(counts, vocab, "token", F.col(id_col), how="left_semi")
+    counts = checkpointed(counts)
+    vocab = checkpointed(
+        counts.groupBy("token").agg(F.count("*").alias("_df")).filter(F.col("_df") >= min_df).select("token"))
+    return keyed_join(counts, vocab, "token", F.col(id_col), how="left_semi")
 
 
 def bag_of_words(df: DataFrame, id_col: str, text: str, keep: list = (), min_df: int = 1) -> DataFrame:
@@ -99,11 +104,13 @@ def char_ngrams(df: DataFrame, id_col: str, text: str, low: int = 1, high: int =
     def grams(word):
         return F.concat(*[of_size(word, n) for n in range(low, high + 1)])
 
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    tokens = F.flatten(F.transform(words, lambda w: grams(F.concat(F.lit(" "), w, F.lit(" ")))))
+    # Count the words first: n-grams are then cut once per distinct word of a document.
+    words = (
+        df.select(id_col, *keep, F.explode(F.split(F.lower(text), r"\s+")).alias("_w")).filter(F.col("_w") != "")
+        .groupBy(id_col, *keep, "_w").agg(F.count("*").alias("n")))
     counts = (
-        df.select(id_col, *keep, F.explode(tokens).alias("token"))
-        .groupBy(id_col, *keep, "token").agg(F.count("*").alias("n")))
+        words.select(id_col, *keep, "n", F.explode(grams(F.concat(F.lit(" "), "_w", F.lit(" ")))).alias("token"))
+        .groupBy(id_col, *keep, "token").agg(F.sum("n").alias("n")))
     return frequent_tokens(counts, id_col, min_df)
 
 

@@ -7,7 +7,9 @@ from tabulearn.functions.columns import distinct_labels
 from tabulearn.operators import (
     boosting, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, prep, sequence, splits, trees)
 from tabulearn.plans import settings as S
+from tabulearn.session import checkpointed
 from tabulearn.sources import text as lines
+from tabulearn.sources.tables import read_table
 
 QUERIES = {}
 
@@ -17,8 +19,12 @@ def query(fn):
     return fn
 
 
+# The key that spreads a table stored in fewer splits than there are cores.
+KEY = {"lineitem": "l_orderkey", "documents": "doc_id", "events": "event_id", "embeddings": "vec_id", "labels": "doc_id"}
+
+
 def table(spark, sf_dir, name) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", KEY[name])
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
@@ -177,8 +183,10 @@ def cv_gnb(spark, d):
 
 
 def word_table(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    return docs, prep.bag_of_words(docs, "doc_id", "text", keep=["lang"], min_df=2)
+    """The labelled documents and their word counts, tokenised once and written out."""
+    docs = table(spark, d, "documents")
+    counts = prep.bag_of_words(docs, "doc_id", "text", keep=["lang"], min_df=2)
+    return docs.select("doc_id", "lang"), checkpointed(counts)
 
 
 @query
@@ -202,8 +210,9 @@ def mnb_predict(spark, d):
 
 def quality_model(spark, d):
     labelled = table(spark, d, "labels").select("doc_id", "quality")
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    counts = prep.bag_of_words(docs, "doc_id", "text", min_df=2)
+    docs = table(spark, d, "documents")
+    counts = checkpointed(prep.bag_of_words(docs, "doc_id", "text", min_df=2))
+    docs = docs.select("doc_id")
     model = naive_bayes.bernoulli_nb_fit(labelled, counts.join(labelled, "doc_id"), "quality")
     return docs, counts, model
 
