@@ -103,8 +103,10 @@ def _packer(max_run):
                     obs.append(pdf["obs"].to_numpy()[c:d])
                     rid.append(pdf["rid"].to_numpy()[c:d])
                     size += d - c
-            yield pd.DataFrame(
-                {"seq": [o[1] for o in out], "run": [o[0] for o in out], "obs": [o[2] for o in out], "rid": [o[3] for o in out]})
+            if out:
+                yield pd.DataFrame(
+                    {"seq": [o[1] for o in out], "run": [o[0] for o in out], "obs": [o[2] for o in out],
+                     "rid": [o[3] for o in out]})
         if size:
             o = flush()
             yield pd.DataFrame({"seq": [o[1]], "run": [o[0]], "obs": [o[2]], "rid": [o[3]]})
