@@ -11,6 +11,9 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 def spark():
     from tabulearn.session import local_session
 
-    session = local_session(8, shuffle_partitions=4)
+    session = local_session(4, shuffle_partitions=2)
+    # The tables are tiny: compiling a plan would take longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()

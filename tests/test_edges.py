@@ -178,7 +178,7 @@ def test_maxent_separates_topics(spark):
     m = maxent.maxent_fit(df, counts, "id", "y", max_iter=12, eps=1e-4)
     assert m.predict(df, counts, "id").join(df, "id").filter("prediction <> y").count() == 0
     # The grand total makes the first step smaller than eps.
-    slow = maxent.maxent_fit(df, counts, "id", "y", step_total=True, eps=0.1)
+    slow = maxent.maxent_fit(df, counts, "id", "y", step_total=True, eps=0.5)
     assert slow.converged and slow.iterations == 1
 
 
