@@ -83,7 +83,7 @@ def _routes(df, cells: Cells, k: int):
             first = enough.argmax(1)
             from_cells = np.where(enough.any(1), reach[np.arange(len(x)), first], np.inf)
             bound = np.minimum(bound, from_cells)
-            q, c = np.nonzero(d - cells.radius <= bound[:, None] + tol)
+            q, c = np.nonzero((d - cells.radius <= bound[:, None] + tol) & (cells.count > 0))
             table = batch.take(pa.array(q))
             yield table.append_column("cell", pa.array(c.astype("int32")))
 
@@ -123,13 +123,18 @@ def knn_join(queries: DataFrame, train: DataFrame, query_id: str, train_id: str,
         raise ValueError("k must be at least 1")
     q = queries.select(F.col(query_id).cast("long").alias("qid"), feature_array(features).alias("x"))
     t = train.select(F.col(train_id).cast("long").alias("tid"), feature_array(features).alias("x"))
-    n_train = t.count()
+    train_rows, n_train = t, t.count()
     if not n_train:
         raise ValueError("no rows to learn from")
     need = k + 1 if skip_same_id else k
+    # Of rows with equal vectors only those with the lowest ids can be among the
+    # nearest, so a large group of copies shrinks to ``need`` rows; Spark cuts
+    # each group per task before the shuffle.
+    copies = Window.partitionBy("x").orderBy("tid")
+    t = t.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= need).drop("_copy")
     n_pivots = int(min(MAX_PIVOTS, max(1, n_train // tile_rows)))
     # Pivots only steer the pruning; any rows would give the same result.
-    pivots = np.array([r["x"] for r in t.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).collect()], dtype=float)
+    pivots = np.array([r["x"] for r in train_rows.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).collect()], dtype=float)
     homed = checkpointed(_with_nearest_pivot(t, pivots))
     cells = _cell_stats(homed, pivots, need)
     routed = checkpointed(_routes(q, cells, need))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tabulearn.functions.batches import summed
 from tabulearn.functions.columns import label_array
+from tabulearn.functions.tables import BROADCAST_ROWS
 from tabulearn.session import checkpointed
 
 PADDED_LIMIT = 2_000_000
@@ -54,12 +55,20 @@ class Runs:
 
     table: DataFrame  # seq, run, obs array<int>, rid array<long>
     split: DataFrame  # sequences that span several runs; at most two per partition
-    has_split: bool
+    split_runs: int  # their number of runs, at most about twice the number of partitions
     symbols: tuple
 
+    @property
+    def has_split(self) -> bool:
+        return self.split_runs > 0
 
-def pack_sequences(df: DataFrame, seq: str, order: list, row_id: str, obs: str, symbols, rows_per_partition: int = 1 << 18,
-                   max_run: int = 1 << 16, partitions: int = None) -> Runs:
+    def small(self, table: DataFrame) -> DataFrame:
+        """A table with at most one row per split run: copied to the tasks while that is few."""
+        return F.broadcast(table) if self.split_runs <= BROADCAST_ROWS else table
+
+
+def pack_sequences(df: DataFrame, seq: str, order: list, row_id: str, obs: str, symbols, rows_per_partition: int = 1 << 20,
+                   max_run: int = 1 << 20, partitions: int = None) -> Runs:
     """Sort each sequence by ``order`` and pack it into runs; written out once.
 
     ``row_id`` (a number) names each row in the results.
@@ -77,8 +86,9 @@ def pack_sequences(df: DataFrame, seq: str, order: list, row_id: str, obs: str,
         ordered.schema["seq"], T.StructField("run", T.LongType()), T.StructField("obs", T.ArrayType(T.IntegerType())),
         T.StructField("rid", T.ArrayType(T.LongType()))])
     table = checkpointed(ordered.mapInPandas(_packer(max_run), schema))
-    split = checkpointed(table.groupBy("seq").agg(F.count("*").alias("runs")).filter(F.col("runs") > 1).select("seq"))
-    return Runs(table, split, split.head(1) != [], symbols)
+    split = checkpointed(table.groupBy("seq").agg(F.count("*").alias("runs")).filter(F.col("runs") > 1))
+    split_runs = split.agg(F.sum("runs")).first()[0] or 0
+    return Runs(table, split.select("seq"), split_runs, symbols)
 
 
 def _packer(max_run):
@@ -211,7 +221,7 @@ def _borders(runs: Runs, p: HmmParams) -> DataFrame:
 
     A task sees one small matrix per run of a sequence, never its rows.
     """
-    part = runs.table.select("seq", "run", "obs").join(runs.split, "seq", "left_semi")
+    part = runs.table.select("seq", "run", "obs").join(runs.small(runs.split), "seq", "left_semi")
     fields = [T.StructField("first", T.IntegerType()), T.StructField("m", DOUBLES), T.StructField("log", T.DoubleType())]
 
     def matrices(batches):
@@ -251,7 +261,7 @@ def _with_borders(runs: Runs, p: HmmParams) -> DataFrame:
     if not runs.has_split:
         none = F.lit(None).cast("array<double>")
         return runs.table.withColumns({"entry": none, "entry_log": F.lit(0.0), "exit": none, "exit_log": F.lit(0.0)})
-    joined = runs.table.join(_borders(runs, p), ["seq", "run"], "left")
+    joined = runs.table.join(runs.small(_borders(runs, p)), ["seq", "run"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("entry_log", "exit_log")})
 
 
@@ -433,7 +443,7 @@ def _trace(lengths, back, end):
 
 def _path_borders(runs: Runs, p: HmmParams) -> DataFrame:
     """(seq, run, entry, end) for split sequences: scores before each run and the state at its end."""
-    part = runs.table.select("seq", "run", "obs").join(runs.split, "seq", "left_semi")
+    part = runs.table.select("seq", "run", "obs").join(runs.small(runs.split), "seq", "left_semi")
     with np.errstate(divide="ignore"):
         a, b, pi = np.log(p.trans), np.log(p.emit), np.log(p.start)
     s = len(p.start)
@@ -484,7 +494,7 @@ def _path_borders(runs: Runs, p: HmmParams) -> DataFrame:
 def hmm_decode(runs: Runs, p: HmmParams) -> DataFrame:
     """(seq, row_id, state): the most likely path; the lowest state wins a tie."""
     if runs.has_split:
-        table = runs.table.join(_path_borders(runs, p), ["seq", "run"], "left")
+        table = runs.table.join(runs.small(_path_borders(runs, p)), ["seq", "run"], "left")
     else:
         table = runs.table.withColumns({"entry": F.lit(None).cast("array<double>"), "end": F.lit(None).cast("int")})
     table = table.withColumn("end", F.coalesce("end", F.lit(-1)))

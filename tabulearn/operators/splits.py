@@ -91,10 +91,11 @@ def split_point(edges: bool) -> Column:
     return F.when(F.col("value") == F.col("lowest"), F.col("value")).otherwise(middle) if edges else middle
 
 
-def split_candidates(df: DataFrame, features: list, edges: bool = True) -> DataFrame:
+def split_candidates(df: DataFrame, features: list, edges: bool = True, max_distinct: int = 100_000,
+                     buckets: int = 256) -> DataFrame:
     """(feature, point): midpoints of adjacent distinct values, and first and last value."""
     table = df.select(F.lit(1).alias("node"), *[required(f).alias(f) for f in features], F.lit(1.0).alias("n"))
-    t = ordered_histogram(table, features, ["n"], {})
+    t = ordered_histogram(table, features, ["n"], quantile_cuts(table, features, max_distinct, buckets))
     middle = F.when(F.col("nxt").isNotNull(), (F.col("value") + F.col("nxt")) / 2.0)
     points = F.array(middle)
     if edges:
@@ -208,7 +209,7 @@ def best_weighted_stump(table: DataFrame, features: list, cuts: dict = None) ->
 
 
 def best_split(df: DataFrame, features: list, target: str, criterion: str = "variance", node: str = None,
-               edges: bool = False) -> DataFrame:
+               edges: bool = False, max_distinct: int = 100_000, buckets: int = 256) -> DataFrame:
     """(node, feature, point, gain, loss, parent_loss): the best split of every group of rows."""
     group = F.col(node).cast("long") if node else F.lit(1).cast("long")
     if criterion == "variance":
@@ -221,5 +222,6 @@ def best_split(df: DataFrame, features: list, target: str, criterion: str = "var
         stats = {k: F.when(F.col(target) == F.lit(c), 1.0).otherwise(0.0) for k, c in zip(rule.names, classes)}
     rows = df.select(group.alias("node"), *[required(f).alias(f) for f in features], *[c.alias(s) for s, c in stats.items()])
     names = F.array(*[F.lit(f) for f in features])
-    return best_splits(rows, features, rule, list(stats), edges=edges).select(
+    cuts = quantile_cuts(rows, features, max_distinct, buckets)
+    return best_splits(rows, features, rule, list(stats), cuts, edges).select(
         "node", F.get(names, F.col("feature")).alias("feature"), "point", "gain", "loss", "parent_loss")
