@@ -119,7 +119,7 @@ def tsv_source(spark, d):
 def whitespace_source(spark, d):
     rows = lineitem(spark, d).select(*LINE, F.concat_ws("  ", *[F.col(c).cast("string") for c in [*S.X3, "l_extendedprice"]]).alias("value"))
     cols = ["f0", "f1", "f2", "label"]
-    return rounded(prep.impute_mean(lines.parse_labeled_ws(rows, 3, keep=LINE), cols), **{c: 6 for c in cols})
+    return rounded(prep.impute_mean(lines.parse_labeled_ws(rows, 3, keep=LINE), cols), **{c: 8 for c in cols})
 
 
 @query
@@ -341,7 +341,7 @@ def pruned(spark, d):
 
 @query
 def prune_sequence(spark, d):
-    return rounded(trees.sequence_table(spark, pruned(spark, d)[0]), alpha=0, cost=0)
+    return rounded(trees.sequence_table(spark, pruned(spark, d)[0]), alpha=-3, cost=-4)
 
 
 @query

@@ -74,7 +74,7 @@ SELECT {KEYS}, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_extendedprice
 
 _ws = dict(zip(["f0", "f1", "f2", "label"], [*S.X3, "l_extendedprice"]))
 SQL["whitespace_source"] = f"""
-SELECT {KEYS}, {', '.join(r0(f'CASE {c} WHEN 0 THEN (SELECT avg({c}) FROM lineitem) ELSE {c} END', 6, n) for n, c in _ws.items())}
+SELECT {KEYS}, {', '.join(r0(f'CASE {c} WHEN 0 THEN (SELECT avg({c}) FROM lineitem) ELSE {c} END', 8, n) for n, c in _ws.items())}
 FROM lineitem"""
 
 SQL["pixel_source"] = f"""
@@ -358,7 +358,7 @@ _pruning, _steps, _ptree = pruning()
 _sequence = " UNION ALL ".join(
     f"SELECT {k}::INTEGER AS step, {'0.0::DOUBLE' if k == 0 else f'(SELECT g FROM cut{k - 1})'} AS alpha,"
     f" count(*)::INTEGER AS leaves, sum(loss) AS cost FROM alive{k} WHERE NOT internal HAVING count(*) > 0" for k in range(_steps + 1))
-SQL["prune_sequence"] = _pruning + f", sq AS ({_sequence}) SELECT step, {r0('alpha', 0, 'alpha')}, leaves, {r0('cost', 0, 'cost')} FROM sq"
+SQL["prune_sequence"] = _pruning + f", sq AS ({_sequence}) SELECT step, {r0('alpha', -3, 'alpha')}, leaves, {r0('cost', -4, 'cost')} FROM sq"
 
 # Each held row walks the whole tree; in a subtree it stops at its deepest node still alive.
 _walk = ["""v0 AS (SELECT row_number() OVER () AS rid, l_quantity, l_discount, l_tax, 1::BIGINT AS node,

@@ -54,7 +54,7 @@ if __name__ == "__main__":
 
     sf = os.environ.get("SF", "0.01")
     folder = f"/root/testdata/sf{sf}"
-    spark, con = local_session(8), duck(folder)
+    spark, con = local_session(os.environ.get("CPUS", "8"), int(os.environ.get("PARTS", "8"))), duck(folder)
     names, sqls = entry.queries(), entry.oracle_sql()
     chosen = sys.argv[1:] or list(names)
     bad = []
