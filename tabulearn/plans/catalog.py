@@ -155,7 +155,8 @@ def gnb_model(df):
 
 @query
 def gnb_params(spark, d):
-    return rounded(gnb_model(lineitem(spark, d)).params(spark), prior=8, mean=5, var=2)
+    out = gnb_model(lineitem(spark, d)).params(spark).withColumn("deviation", F.sqrt("var")).drop("var")
+    return rounded(out, prior=8, mean=6, deviation=7)
 
 
 @query

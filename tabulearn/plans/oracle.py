@@ -104,7 +104,7 @@ gp AS (SELECT label, f, count(*) / (SELECT count(*) FROM lineitem)::DOUBLE AS pr
 
 
 SQL["gnb_params"] = with_(gnb()) + f"""
-SELECT label, f AS feature, {r0('prior', 8, 'prior')}, {r0('mean', 5, 'mean')}, {r0('var', 2, 'var')} FROM gp"""
+SELECT label, f AS feature, {r0('prior', 8, 'prior')}, {r0('mean', 6, 'mean')}, {r0('sqrt(var)', 7, 'deviation')} FROM gp"""
 
 _wide = ",\n".join(f"max(mean) FILTER (f = '{c}') AS m{i}, max(var) FILTER (f = '{c}') AS v{i}" for i, c in enumerate(S.X4))
 _density = " + ".join(f"(ln(2 * pi() * v{i}) + ({c} - m{i}) * ({c} - m{i}) / v{i})" for i, c in enumerate(S.X4))
