@@ -5,11 +5,19 @@ from functools import cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulearn.llm import bpe, token_counts
+from tabulearn.llm import bpe, mixing, simhash, token_counts, url_filter
 from tabulearn.llm.frames import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+MIX_SEED = 7
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 @cache
@@ -21,11 +29,73 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), spark.sparkContext.broadcast(vocabulary()))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=MIX_SEED)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     send = spark.sparkContext.broadcast
     single = token_counts.single_tokens(vocabulary())
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), send(vocabulary()), send(single), TOKEN_LIMIT)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts}
-SQL = {}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op4_simhash": op4_simhash,
+    "op8_token_counts": op8_token_counts,
+    "op10_url_filter": op10_url_filter,
+}
+
+MIXING_SQL = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, 2.0 * sum(size) AS cap,
+         CAST([5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS DOUBLE) AS weight
+  FROM sized GROUP BY source),
+rounds AS (
+  SELECT 1 AS k, CAST(0.0 AS DOUBLE) AS level, CAST((SELECT 1.5 * sum(source_size) / sum(weight) FROM sources) AS DOUBLE) AS nxt
+  UNION ALL
+  SELECT k + 1, nxt, CAST((SELECT (1.5 * (SELECT sum(source_size) FROM sources) - coalesce(sum(cap) FILTER (cap < weight * r.nxt), 0))
+                           / nullif(sum(weight) FILTER (NOT cap < weight * r.nxt), 0) FROM sources) AS DOUBLE)
+  FROM rounds r WHERE nxt > level AND k < 1000),
+settled AS (SELECT arg_max(coalesce(nxt, level), k) AS level, bool_or(nxt IS NULL) AS all_full FROM rounds),
+targets AS (
+  SELECT source, source_size, CASE WHEN all_full THEN cap ELSE least(cap, weight * level) END AS target FROM sources, settled),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mark, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * (whole + CASE WHEN 2 * before + size <= 2 * (target - whole * source_size) AND size > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+"""
+
+URL_SQL = """
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES) + """),
+cut AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM cut),
+fits AS (
+  SELECT s.*, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS place
+  FROM split s LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE place = 1
+"""
+
+SQL = {"op2_mixing": MIXING_SQL, "op10_url_filter": URL_SQL}
