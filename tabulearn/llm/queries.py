@@ -5,7 +5,7 @@ from functools import cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulearn.llm import bpe, mixing, simhash, token_counts, url_filter
+from tabulearn.llm import bpe, mixing, simhash, suffix_dedup, token_counts, url_filter
 from tabulearn.llm.frames import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), send(vocabulary()), send(single), TOKEN_LIMIT)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), span=200)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_simhash": op4_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
