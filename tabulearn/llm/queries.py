@@ -4,9 +4,10 @@ from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulearn.llm import bpe, mixing, simhash, suffix_dedup, token_counts, url_filter
-from tabulearn.llm.frames import table
+from tabulearn.llm import bpe, language_id, mixing, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from tabulearn.llm.frames import crc_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -38,6 +39,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs, crc_fold(F.col("doc_id"), 5) != 0)
+    found = language_id.predict(docs, spark.sparkContext.broadcast(net))
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 4) != 2)
+    scored = toxicity.score(docs, spark.sparkContext.broadcast(lexicon), threshold=0.3)
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     send = spark.sparkContext.broadcast
     single = token_counts.single_tokens(vocabulary())
@@ -57,6 +72,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
     "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
