@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulearn.llm import bpe, language_id, mixing, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from tabulearn.llm import bpe, language_id, lattice_dedup, mixing, simhash, suffix_dedup, token_counts, toxicity, url_filter, vantage_search
 from tabulearn.llm.frames import crc_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
 
@@ -46,6 +50,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 4) != 2)
@@ -71,8 +79,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_lattice_dedup": op3_lattice_dedup,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
+    "op6_vantage_search": op6_vantage_search,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_suffix_dedup": op9_suffix_dedup,
