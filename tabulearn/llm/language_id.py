@@ -250,6 +250,19 @@ def predict(df: DataFrame, net, id_col: str = "doc_id", text_col: str = "text")
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def accepted(df: DataFrame, net, least: float = 0.35, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language with a score of at least ``least``, with their columns."""
+    call = uuid.uuid4().hex
+
+    def run(batches):
+        tagger = worker_tagger(call, net)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("").to_pylist()
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in tagger.label(texts)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 TAGGERS = {}
 
 

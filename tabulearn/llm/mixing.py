@@ -7,7 +7,7 @@ holds it whole, and a seeded part of its documents once more.
 
 from math import ceil, log2
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulearn.llm.frames import WORD
@@ -47,42 +47,74 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
         level = new
 
 
-def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id_col, source, size, source_size, target, repeats, taken) per row.
-
-    Sources by code point, null last (null is a source of its own), take the weights in turn. The part that is taken
-    once more is the documents in the order of a seeded hash of the id, as long as their middle word is inside the
-    rest of the target, so a source misses its target by half a document at most. Rows without words take no words.
-    Hash buckets per source keep every window small, however large the source; the result doesn't depend on them.
-    """
-    size = F.coalesce(F.size(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+def sized(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> list:
+    """Columns (source, size, mark): words of the text (null: 0), and a seeded hash that puts a source's rows in order."""
+    size = F.coalesce(F.size(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))), F.lit(0))
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(size).cast("long")
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = checkpointed(df.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), mark.alias("mark")))
+    return [F.col(source_col).alias("source"), size.alias("size"), mark.alias("mark")]
+
+
+def plan(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id",
+         text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(source, source_size, target, whole, last_mark, last_size) per source.
 
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    All documents of a source are taken ``whole`` times, and those up to (last_mark, last_size) in its order once more.
+    Hash buckets per source keep every window small, however large the source; the result doesn't depend on them.
+    """
+    rows = checkpointed(df.select(*sized(df, seed, id_col, text_col, source_col)))
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     per_source = checkpointed(ranked(per_source, F.col("source").asc_nulls_last()))
     total = per_source.agg(F.sum("source_size").alias("words"), F.sum("n").alias("n")).first()
     turn = F.array(*[F.lit(float(w)) for w in weights])
     sources = per_source.withColumn("weight", F.element_at(turn, (F.col("pos") % len(weights) + 1).cast("int")))
-    targets = water_fill(sources, share * (total["words"] or 0), max_epochs).select(F.col("source").alias("of"), "source_size", "target")
+    targets = water_fill(sources, share * (total["words"] or 0), max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    targets = targets.select(F.col("source").alias("of"), "source_size", F.col("target").cast("double").alias("target"), whole.alias("whole"))
 
     digits = max(1, min(5, ceil(log2(max(total["n"] or 1, BUCKET_ROWS) / BUCKET_ROWS) / 4)))
-    sized = sized.withColumn("bucket", F.substring("mark", 1, digits))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+    rows = rows.withColumn("bucket", F.substring("mark", 1, digits))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before", F.coalesce(F.sum("held").over(run), F.lit(0)))
     buckets = buckets.join(targets, F.col("source").eqNullSafe(F.col("of")))
-    buckets = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("at"), "before", "source_size", "target")
-
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    # Only the bucket in which the rest of the target ends needs an order of its rows.
+    cut = buckets.where((F.col("before") <= rest) & (F.col("before") + F.col("held") > 0)).select(F.col("of").alias("cut_of"), F.col("bucket").alias("cut"), "before", rest.alias("rest"))
     inside = Window.partitionBy("source", "bucket").orderBy("mark", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(buckets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - whole * F.col("source_size")
-    once_more = 2 * (F.col("before") + F.col("inside")) + F.col("size") <= 2 * rest
-    repeats = (whole + (once_more & (F.col("size") > 0)).cast("long")).cast("int")
-    rows = rows.withColumn("repeats", repeats)
-    return rows.select(id_col, "source", "size", "source_size", F.col("target").cast("double").alias("target"), "repeats",
-                       (F.col("size") * F.col("repeats")).alias("taken"))
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(cut, F.col("source").eqNullSafe(F.col("cut_of")) & (F.col("bucket") == F.col("cut")))
+    taken = placed.where((2 * (F.col("before") + F.col("inside")) + F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0))
+    last = taken.groupBy("source").agg(F.max(F.struct("mark", "size")).alias("last")).select(F.col("source").alias("last_of"), "last")
+    found = targets.join(last, F.col("of").eqNullSafe(F.col("last_of")), "left")
+    return checkpointed(found.select("of", "source_size", "target", "whole", F.col("last.mark").alias("last_mark"), F.col("last.size").alias("last_size")))
+
+
+def repeats() -> Column:
+    """How often a row with (size, mark) is taken by its source's plan."""
+    once_more = (F.col("mark") < F.col("last_mark")) | ((F.col("mark") == F.col("last_mark")) & (F.col("size") <= F.col("last_size")))
+    return F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("int")
+
+
+def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id",
+        text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id_col, source, size, source_size, target, repeats, taken) per row.
+
+    Sources by code point, null last (null is a source of its own), take the weights in turn. The part that is taken
+    once more is the documents in the order of a seeded hash of the id, as long as their middle word is inside the
+    rest of the target, so a source misses its target by half a document at most. Rows without words count none, and
+    rows with equal ids and sizes are taken alike.
+    """
+    found = plan(df, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    rows = df.select(F.col(id_col).alias("id"), *sized(df, seed, id_col, text_col, source_col))
+    rows = rows.join(found, F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", repeats())
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id",
+               text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows themselves, as often as the mix takes each, with their columns."""
+    found = plan(df, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    rows = df.select(F.struct(*df.columns).alias("row"), *sized(df, seed, id_col, text_col, source_col))
+    rows = rows.join(found, F.col("source").eqNullSafe(F.col("of"))).where(repeats() > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), repeats())).alias("turn")).select("row.*")

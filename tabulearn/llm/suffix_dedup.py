@@ -164,9 +164,11 @@ def whole_groups(batches, least: int):
 
 
 def keep_first_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text): rows are told apart by id and a 32-bit mark of the text, as ids may repeat or be null."""
+    """(id, mark, text, row): rows are told apart by id and a 32-bit mark of the text, as ids may repeat or be null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"))
+    # The row carries its text once: as the column beside it.
+    row = F.struct(*[F.when(F.col(c).isNotNull(), F.lit("")).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"), row.alias("row"))
 
 
 def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
@@ -252,46 +254,72 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[new, 0], reach[np.append(new[1:] - 1, len(spans) - 1)]])
 
 
-def remove_repeats(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row.
-
-    Texts are UTF-8 bytes, null is empty. A byte goes if it lies in a string of ``span`` bytes that also starts
-    elsewhere, in this text or another; overlapping occurrences count. ``kept`` is what remains as text, without
-    the rests of letters of which a part was removed. Repeated rows are documents of their own, so both lose what
-    they share, even if their ids are equal. Texts shorter than ``span`` stay as they are.
-    """
+def with_spans(df: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, text, spans) per row: its columns, its text and the ranges to remove."""
     if not REACH + GRAM <= span <= 2**15:
         raise ValueError(f"span must be at least {REACH + GRAM}")
     docs = keep_first_columns(df, id_col, text_col)
-    spans = repeated_spans(docs, span).groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(docs.drop("row"), span).groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "spans")
-    joined = docs.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("id", "text", "spans")
+    return docs.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("row", "text", "spans")
+
+
+def gaps(batch):
+    """For each row of a batch with text and spans: the text's bytes, and the maximal ranges that go."""
+    flat, offsets = utf8_buffer(batch.column("text"))
+    raw, lists = memoryview(flat), batch.column("spans")
+    for i in range(batch.num_rows):
+        gone = np.zeros((0, 2), np.int64)
+        if lists[i].is_valid:
+            pairs = lists.slice(i, 1).flatten()
+            gone = merged(np.column_stack([pairs.field("s").to_numpy(), pairs.field("e").to_numpy()]))
+        yield raw[offsets[i] : offsets[i + 1]], gone
+
+
+def kept_parts(text, gone: np.ndarray) -> list:
+    edges = np.concatenate([[0], gone.ravel(), [len(text)]]).tolist()
+    return [text[s:e] for s, e in zip(edges[::2], edges[1::2])]
+
+
+def remove_repeats(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) per row.
+
+    Texts are UTF-8 bytes, null is empty. A byte goes if it lies in a string of ``span`` bytes that also starts
+    elsewhere, in this text or another; overlapping occurrences count. Repeated rows are documents of their own, so
+    both lose what they share, even if their ids are equal. Texts shorter than ``span`` stay as they are.
+    """
 
     def finish(batches):
         for batch in batches:
-            flat, offsets = utf8_buffer(batch.column("text"))
-            raw = memoryview(flat)
-            lists = batch.column("spans")
             rows = []
-            for i in range(batch.num_rows):
-                text = raw[offsets[i] : offsets[i + 1]]
-                gone = np.zeros((0, 2), np.int64)
-                if lists[i].is_valid:
-                    pairs = lists.slice(i, 1).flatten()
-                    gone = merged(np.column_stack([pairs.field("s").to_numpy(), pairs.field("e").to_numpy()]))
-                digest, kept, at = hashlib.sha256(), [], 0
-                for s, e in [*gone.tolist(), (len(text), len(text))]:
-                    digest.update(text[at:s])
-                    if with_text:
-                        kept.append(bytes(text[at:s]))
-                    at = e
-                rows.append((len(text), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), digest.hexdigest(), b"".join(kept).decode("utf-8", "ignore")))
-            n_bytes, removed, n_spans, sha, kept = zip(*rows) if rows else ((),) * 5
-            columns = [batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
-            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInArrow(finish, schema + (", kept string" if with_text else ""))
+            for text, gone in gaps(batch):
+                digest = hashlib.sha256()
+                for part in kept_parts(text, gone):
+                    digest.update(part)
+                rows.append((len(text), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), digest.hexdigest()))
+            n_bytes, removed, n_spans, sha = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
+                [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    joined = with_spans(df.select(id_col, text_col), span, id_col, text_col).select(F.col(f"row.`{id_col}`").alias("id"), "text", "spans")
+    kind = df.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cleaned_rows(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows with their columns and the repeated passages cut out of the text.
+
+    Bytes of a letter that was cut in part are dropped. Null texts stay null.
+    """
+    joined = with_spans(df, span, id_col, text_col)
+
+    def finish(batches):
+        for batch in batches:
+            text = [b"".join(kept_parts(text, gone)).decode("utf-8", "ignore") for text, gone in gaps(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], ["row", "kept"])
+
+    row_type = joined.schema["row"].dataType.simpleString()
+    out = joined.mapInArrow(finish, f"row {row_type}, kept string")
+    text = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("kept")).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
