@@ -81,6 +81,8 @@ def far_apart(a, b):
 
 def forest(left: np.ndarray, right: np.ndarray, distance: int) -> pd.DataFrame:
     """Links that connect what is connected between (and, if they are the same, within) two blocks."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": left[:0].view(np.int64), "b": left[:0].view(np.int64)})
     near = np.bitwise_count(left[:, None] ^ right[None, :]) <= distance
     nodes = np.concatenate([left, right])
     label = np.arange(len(nodes))
