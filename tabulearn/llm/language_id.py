@@ -97,7 +97,6 @@ class BiGru:
         return logits / logits.sum(axis=-1, keepdims=True)
 
     def gradients(self, x: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> dict:
-        keep = ([], [])
         keep = [[], []]
         turn = np.maximum(sizes - 1 - np.arange(len(x))[:, None], 0)
         turned = np.take_along_axis(x, turn, 0)
@@ -196,6 +195,9 @@ class Tagger:
 
     def label(self, texts: list):
         """(language, score) of each text."""
+        if not self.net.languages:
+            yield from [(UNKNOWN, 0.0)] * len(texts)
+            return
         for part in chunks(texts, map(len, texts), BLOCK_CHARS):
             if len(part) == 1 and len(part[0]) > BLOCK_CHARS:
                 total = 0.0
@@ -210,7 +212,7 @@ class Tagger:
                 yield self.verdict(text, self.pooled(words) if words else None)
 
     def verdict(self, text: str, total) -> tuple[str, float]:
-        if total is None or not self.net.languages or not any(map(str.isalpha, text)):
+        if total is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         best = int(total[:-1].argmax())
         return self.net.languages[best], float(min(1.0, total[best] / total[-1]))
