@@ -192,7 +192,8 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     picked = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("label") == 1, toxic_docs).otherwise(clean_docs))
     # At most toxic_docs + clean_docs small rows, so the copy to every task is bounded.
-    sample = df.join(F.broadcast(picked.select("id", "label")), F.col(id_col) == F.col("id")).select("label", F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    sample = docs.join(F.broadcast(picked.select("id", "label")), F.col("doc") == F.col("id")).select("label", "text")
 
     def count(batches):
         for batch in batches:
