@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import distinct_labels, plus_minus, sigmoid
 from tabulearn.operators.metrics import r2_of
-from tabulearn.operators.splits import Variance, best_splits, best_weighted_stump, prepare
+from tabulearn.operators.splits import Variance, best_splits, best_weighted_stump, centred, prepare
 from tabulearn.operators.trees import Tree, grow, prepare_regression
 from tabulearn.session import checkpointed
 
@@ -39,11 +39,8 @@ class Scored:
             self.table, self.score = table, F.col("_score")
 
     def residuals(self) -> DataFrame:
-        """n, s, q of (target - score) for least squares."""
-        f = self.score
-        n, s, q = F.col("n"), F.col("s"), F.col("q")
-        return self.table.select(
-            *self.data.features, "n", (s - n * f).alias("s"), (q - F.lit(2.0) * f * s + n * f * f).alias("q"))
+        """n, m, w of (target - score)."""
+        return self.table.select(*self.data.features, "n", (F.col("m") - self.score).alias("m"), "w")
 
 
 @dataclass
@@ -85,9 +82,9 @@ def stump_regress_fit(df: DataFrame, features: list, target: str, n_estimators:
                       checkpoint_every: int = CHECKPOINT_EVERY, **options) -> StumpRegressor:
     """Each round fits one split to the residual; stops when no split improves it."""
     data, mean = prepare_regression(df, features, target, **options)
-    state, stumps = Scored(data, 0.0, checkpoint_every), []
+    state, stumps = Scored(data, mean, checkpoint_every), []
     for i in range(n_estimators):
-        rows = state.residuals().withColumn("node", F.lit(1))
+        rows = centred(state.residuals().withColumn("node", F.lit(1)), F.lit(0.0))
         found = best_splits(rows, features, Variance, ["n", "s", "q"], data.cuts).collect()
         if not found:
             break
@@ -95,7 +92,7 @@ def stump_regress_fit(df: DataFrame, features: list, target: str, n_estimators:
         stump = Stump(r["feature"], r["point"], r["c_s"] / r["c_n"], (r["t_s"] - r["c_s"]) / (r["t_n"] - r["c_n"]))
         state.add(stump_column(features, stump))
         if not stumps:
-            # The table is centred on the mean, which the first round adds back.
+            # The score starts from the mean, which the first round adds back.
             stump = Stump(stump.feature, stump.point, stump.left + mean, stump.right + mean)
         stumps.append(stump)
     state.table.unpersist()
@@ -132,12 +129,10 @@ def boosted_trees_fit(df: DataFrame, features: list, target: str, n_estimators:
                       checkpoint_every: int = CHECKPOINT_EVERY, **options) -> TreeEnsemble:
     """Least-squares trees on residuals; leaves at most ``max_depth`` edges deep."""
     data, mean = prepare_regression(df, features, target, **options)
-    state, trees = Scored(data, 0.0, checkpoint_every), []
+    state, trees = Scored(data, mean, checkpoint_every), []
     for i in range(n_estimators):
-        rows = state.residuals()
-        totals = data.totals if i == 0 else rows.agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).first().asDict()
-        nodes = grow(rows, features, ["n", "s", "q"], Variance, totals, data.cuts, max_depth)
-        values = {k: n.stats["s"] / n.stats["n"] for k, n in nodes.items()}
+        nodes = grow(state.residuals(), features, ["n", "s", "q"], Variance, data.totals | {"m": 0.0}, data.cuts, max_depth)
+        values = {k: n.mean for k, n in nodes.items()}
         state.add(Tree(list(features), nodes, values).value_column())
         if i == 0:
             values = {k: v + mean for k, v in values.items()}
@@ -178,13 +173,13 @@ def gbdt_fit(df: DataFrame, features: list, label: str, n_estimators: int = 100,
     sums = ["n", "s", "q", "h"]
     for _ in range(n_estimators):
         r = negative_gradient(F.col("_y"), state.score)
-        n = F.col("n")
-        rows = state.table.select(*features, "n", r.alias("r")).select(
-            *features, "n", (n * F.col("r")).alias("s"), (n * F.col("r") * F.col("r")).alias("q"),
-            (n * F.abs("r") * (F.lit(1.0) - F.abs("r"))).alias("h"))
-        totals = rows.agg(*[F.sum(c).alias(c) for c in sums]).first().asDict()
+        rows = state.table.select(*features, "n", r.alias("m")).select(
+            *features, "n", "m", F.lit(0.0).alias("w"), (F.col("n") * F.abs("m") * (F.lit(1.0) - F.abs("m"))).alias("h"))
+        totals = {"n": data.totals["n"], "m": 0.0, "s": 0.0, "q": 0.0, "h": 0.0}
         nodes = grow(rows, features, sums, Variance, totals, data.cuts, max_depth)
-        tree = Tree(list(features), nodes, {i: n.stats["s"] / (n.stats["h"] + 1e-9) for i, n in nodes.items()})
+        if len(nodes) == 1:
+            nodes[1].stats["h"] = rows.agg(F.sum("h").alias("h")).first()["h"]
+        tree = Tree(list(features), nodes, {i: n.mean * n.size / (n.stats["h"] + 1e-9) for i, n in nodes.items()})
         state.add(F.lit(learning_rate) * tree.value_column())
         trees.append(tree)
     state.table.unpersist()

@@ -20,6 +20,9 @@ from tabulearn.session import kept
 # Losses are compared as shares of the node's own loss with this many digits,
 # so that sums added in another order never change which candidate wins.
 TIE_DIGITS = 9
+# A split improves its node if it removes more than this share of the loss, which
+# is what the order of addition can make of a split that removes nothing.
+IMPROVES = 1e-12
 
 
 @dataclass
@@ -37,31 +40,46 @@ class Training:
 
 
 def prepare(df: DataFrame, features: list, keys: list, stats: dict, collapse_rows=None,
-            max_distinct: int = 100_000, buckets: int = 256) -> Training:
+            max_distinct: int = 100_000, buckets: int = 256, target: str = None) -> Training:
     """Project to features, extra keys and statistics; collapse equal rows.
 
     ``stats`` maps a name to a per-row column. ``collapse_rows`` None decides
     from an approximate distinct count taken in the same job as the totals.
+    With a ``target`` each row also has the mean ``m`` of its targets and their
+    squared deviations ``w`` from that mean, which stay exact however far the
+    targets lie from zero or from each other.
     """
-    clash = set(features) & (set(stats) | {"node", "bucket", "_score"})
+    clash = set(features) & (set(stats) | {"node", "bucket", "_score"} | ({"m", "w"} if target else set()))
     if clash:
         raise ValueError(f"rename feature columns {sorted(clash)}")
     rows = df.select(*[required(f).alias(f) for f in features], *keys,
-                     *[c.cast("double").alias(n) for n, c in stats.items()])
-    key_names = [c for c in rows.columns if c not in stats]
+                     *[c.cast("double").alias(n) for n, c in stats.items()],
+                     *([required(target).alias("m"), F.lit(0.0).alias("w")] if target else []))
+    key_names = [c for c in rows.columns if c not in stats and not (target and c in ("m", "w"))]
     row = rows.agg(F.count("*").alias("_rows"),
                    F.approx_count_distinct(F.struct(*key_names)).alias("_distinct"),
-                   *[F.sum(s).alias(s) for s in stats]).first()
+                   *[F.sum(s).alias(s) for s in stats],
+                   *([F.avg("m").alias("m")] if target else [])).first()
     if not row["_rows"]:
         raise ValueError("no rows to learn from")
     if collapse_rows is None:
         collapse_rows = worth_collapsing(row["_rows"], row["_distinct"])
-    table = collapse(rows, key_names, {s: F.col(s) for s in stats}) if collapse_rows else rows
+    if collapse_rows and target:
+        table = rows.groupBy(*key_names).agg(*[F.sum(s).alias(s) for s in stats], F.avg("m").alias("m"),
+                                             F.when(F.min("m") < F.max("m"), F.var_pop("m") * F.count("*")).otherwise(0.0).alias("w"))
+    else:
+        table = collapse(rows, key_names, {s: F.col(s) for s in stats}) if collapse_rows else rows
     table = kept(table)
     cuts = {}
     if row["_distinct"] > max_distinct:
         cuts = quantile_cuts(table, features, max_distinct, buckets)
-    return Training(table, list(features), list(stats), {s: row[s] for s in stats}, cuts)
+    return Training(table, list(features), list(stats), {s: row[s] for s in [*stats, *(["m"] if target else [])]}, cuts)
+
+
+def centred(table: DataFrame, centre: Column) -> DataFrame:
+    """``s`` and ``q``: sum and sum of squares of the targets around ``centre``, from n, m and w."""
+    off = F.col("m") - centre
+    return table.withColumns({"s": F.col("n") * off, "q": F.col("w") + F.col("n") * off * off})
 
 
 def histogram(table: DataFrame, features: list, sums: list, cuts: dict) -> DataFrame:
@@ -176,7 +194,8 @@ def scored_splits(table: DataFrame, features: list, criterion, sums: list, cuts:
     parent = criterion.loss(lambda s: F.col(f"t_{s}"))
     return (
         t.withColumn("point", split_point(edges)).withColumn("loss", left + right).withColumn("parent_loss", parent)
-        .withColumn("gain", F.round(F.lit(1.0) - F.col("loss") / F.nullif(F.col("parent_loss"), F.lit(0.0)), TIE_DIGITS)))
+        .withColumn("share", F.lit(1.0) - F.col("loss") / F.nullif(F.col("parent_loss"), F.lit(0.0)))
+        .withColumn("gain", F.round("share", TIE_DIGITS)))
 
 
 def best_splits(table: DataFrame, features: list, criterion, sums: list, cuts: dict = None, edges: bool = False) -> DataFrame:
@@ -184,7 +203,7 @@ def best_splits(table: DataFrame, features: list, criterion, sums: list, cuts: d
 
     A node without an improving split gives no row.
     """
-    scored = scored_splits(table, features, criterion, sums, cuts or {}, edges).filter(F.col("gain") > 0)
+    scored = scored_splits(table, features, criterion, sums, cuts or {}, edges).filter(F.col("share") > IMPROVES)
     best = F.min(F.struct(
         (-F.col("gain")).alias("cost"), "feature", "point", "gain", "loss", "parent_loss",
         *[f"c_{s}" for s in sums], *[f"t_{s}" for s in sums])).alias("b")

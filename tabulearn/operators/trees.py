@@ -1,8 +1,9 @@
 """Classification and regression trees grown one level per job, and their pruning.
 
 The model is a dictionary of nodes under heap numbers (children of n are 2n
-and 2n + 1). Nothing about a row is stored between levels: its node is a
-function of the features and the splits found so far.
+and 2n + 1) of any size; in tables the nodes of a tree too deep for 63 bits are
+numbered in that order instead. Nothing about a row is stored between levels:
+its node is a function of the features and the splits found so far.
 """
 
 from dataclasses import dataclass
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import distinct_labels, label_array, literal_array, required
 from tabulearn.operators.prep import split_by_key
-from tabulearn.operators.splits import ClassCounts, Variance, best_splits, prepare
+from tabulearn.operators.splits import ClassCounts, Variance, best_splits, centred, prepare
 
 INLINE_NODES = 64
-DEPTH_LIMIT = 60
+# A child's loss below this share of its sum of squares around its parent's mean is taken again around its own.
+CANCELLED = 1e-6
 
 
 @dataclass
@@ -26,6 +28,7 @@ class Node:
     size: float
     feature: int = None
     point: float = None
+    mean: float = None
 
     @property
     def is_leaf(self):
@@ -77,8 +80,14 @@ class Tree:
     def leaves(self):
         return [n for n in self.nodes.values() if n.is_leaf]
 
+    def numbers(self) -> dict:
+        """Node numbers that fit a long: the heap numbers, or the place in their order."""
+        order = sorted(self.nodes)
+        return {i: i for i in order} if order[-1] < 2**63 else {i: k + 1 for k, i in enumerate(order)}
+
     def node_column(self) -> Column:
-        return descend(self.features, self.nodes, {n.id: n.id for n in self.leaves()}, "long")
+        number = self.numbers()
+        return descend(self.features, self.nodes, {n.id: number[n.id] for n in self.leaves()}, "long")
 
     def value_column(self) -> Column:
         return descend(self.features, self.nodes, {n.id: self.values[n.id] for n in self.leaves()})
@@ -99,21 +108,26 @@ class Tree:
 
     def table(self, spark) -> DataFrame:
         """One row per node, breadth first."""
-        rows = [(n.id, n.id // 2 or None, None if n.is_leaf else self.features[n.feature], n.point,
-                 n.loss / n.size, int(round(n.size)), self.value_of(n.id), self.label_of(n.id))
+        return self._rows(spark).drop("below")
+
+    def _rows(self, spark) -> DataFrame:
+        number = self.numbers()
+        rows = [(number[n.id], number.get(n.id // 2), None if n.is_leaf else self.features[n.feature], n.point,
+                 n.loss / n.size, int(round(n.size)), self.value_of(n.id), self.label_of(n.id),
+                 n.id % 2 == 0)
                 for n in sorted(self.nodes.values(), key=lambda n: n.id)]
         return spark.createDataFrame(
             rows, "node_id long, parent_id long, feature string, split_point double, impurity double,"
-                  " samples long, value double, label string")
+                  " samples long, value double, label string, below boolean")
 
     def edges(self, spark) -> DataFrame:
         """Each node with its rule and the branch that leads to it."""
-        nodes = self.table(spark)
+        nodes = self._rows(spark)
         rule = F.when(F.col("p.feature").isNotNull(),
-                      F.concat(F.col("p.feature"), F.when(F.col("c.node_id") % 2 == 0, F.lit(" <= ")).otherwise(F.lit(" > "))))
+                      F.concat(F.col("p.feature"), F.when(F.col("c.below"), F.lit(" <= ")).otherwise(F.lit(" > "))))
         return (
             nodes.alias("c").join(nodes.alias("p"), F.col("c.parent_id") == F.col("p.node_id"), "left")
-            .select("c.node_id", "c.parent_id", (F.col("c.node_id") % 2 == 0).alias("branch_true"), rule.alias("rule"),
+            .select("c.node_id", "c.parent_id", F.col("c.below").alias("branch_true"), rule.alias("rule"),
                     F.col("p.split_point").alias("rule_point"), "c.impurity", "c.samples", "c.value", "c.label"))
 
 
@@ -127,55 +141,83 @@ def grow(table: DataFrame, features: list, sums: list, criterion, root: dict, cu
 
     A node stays a leaf when it has under ``min_samples`` rows, its impurity is
     at most ``min_impurity``, it is at ``max_depth``, or no split improves it.
+    For least squares the table has n, m, w and the level's sums are taken
+    around each node's own mean; nodes whose loss that leaves uncertain get it
+    from one more job, and those of equal targets are known by minimum and maximum.
     """
-    depth_limit = DEPTH_LIMIT if max_depth is None else min(max_depth, DEPTH_LIMIT)
+    squares = criterion is Variance
     nodes = {1: _node(1, root, criterion)}
-    level = [1]
-    for depth in range(depth_limit):
+    if squares:
+        nodes[1].mean = root["m"]
+        _measure(table, features, nodes, [1])
+    level, depth = [1], 0
+    while max_depth is None or depth < max_depth:
         open_ids = [i for i in level if nodes[i].size >= min_samples and _impure(nodes[i], min_impurity)]
         if not open_ids:
             break
-        here = descend(features, nodes, {i: i for i in open_ids}, "long")
-        rows = table.withColumn("node", here).filter(F.col("node").isNotNull())
-        level = []
+        rows = _in_nodes(table, features, nodes, open_ids, squares)
+        level, unsure = [], []
         for r in best_splits(rows, features, criterion, sums, cuts, edges).collect():
-            node = nodes[r["node"]]
+            node = nodes[open_ids[r["node"]]]
             node.feature, node.point = r["feature"], r["point"]
             left = {s: r[f"c_{s}"] for s in sums}
             right = {s: r[f"t_{s}"] - r[f"c_{s}"] for s in sums}
             for child, stats in ((2 * node.id, left), (2 * node.id + 1, right)):
                 nodes[child] = _node(child, stats, criterion)
                 level.append(child)
+                if squares:
+                    nodes[child].mean = node.mean + stats["s"] / stats["n"]
+                    if nodes[child].loss <= CANCELLED * stats["q"]:
+                        unsure.append(child)
+        if unsure:
+            _measure(table, features, nodes, sorted(unsure))
         level.sort()
+        depth += 1
     return nodes
 
 
+def _in_nodes(table, features, nodes, ids, squares):
+    """The rows of these nodes with ``node``, the node's place in the list."""
+    here = descend(features, nodes, {i: k for k, i in enumerate(ids)}, "long")
+    rows = table.withColumn("node", here).filter(F.col("node").isNotNull())
+    return centred(rows, F.get(literal_array([nodes[i].mean for i in ids]), F.col("node").cast("int"))) if squares else rows
+
+
+def _measure(table, features, nodes, ids):
+    """Mean and loss of these nodes from their rows; exactly zero if all targets are equal."""
+    found = _in_nodes(table, features, nodes, ids, True).groupBy("node").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+        F.min("m").alias("low"), F.max("m").alias("high"), F.max("w").alias("w"))
+    for r in found.collect():
+        node = nodes[ids[r["node"]]]
+        if r["low"] == r["high"] and r["w"] == 0:
+            node.mean, node.loss = r["low"], 0.0
+        else:
+            node.loss, node.mean = max(r["q"] - r["s"] ** 2 / r["n"], 0.0), node.mean + r["s"] / r["n"]
+
+
 def _node(i, stats, criterion):
     return Node(i, stats, criterion.number(stats), criterion.size(stats))
 
 
 def _impure(node, min_impurity):
-    # A node of equal targets has only rounding error left in its loss.
-    floor = 1e-12 * node.stats["q"] if "q" in node.stats else 1e-12 * node.size
-    return node.loss > floor and node.loss / node.size > min_impurity
+    return node.loss > 0 and node.loss / node.size > min_impurity
 
 
 def prepare_regression(df: DataFrame, features: list, target: str, **options):
-    """Training table with n, s, q of the target around its mean; returns (training, mean)."""
-    mean = df.agg(F.avg(required(target)).alias("m")).first()["m"]
-    if mean is None:
-        raise ValueError("no rows to learn from")
-    y = required(target) - F.lit(mean)
-    return prepare(df, features, [], {"n": F.lit(1.0), "s": y, "q": y * y}, **options), mean
+    """Training table with n, m and w of the target, whose totals hold the start of a root node; returns (training, mean)."""
+    data = prepare(df, features, [], {"n": F.lit(1.0)}, target=target, **options)
+    data.totals |= {"s": 0.0, "q": 0.0}
+    return data, data.totals["m"]
 
 
 def tree_regress_fit(df: DataFrame, features: list, target: str, max_depth: int = None, min_samples: int = 2,
                      edges: bool = True, **options) -> Tree:
-    """Least-squares tree."""
+    """Least-squares tree; without ``max_depth`` it grows until its leaves are pure or cannot be improved."""
     data, mean = prepare_regression(df, features, target, **options)
-    nodes = grow(data.table, features, data.sums, Variance, data.totals, data.cuts, max_depth, min_samples, edges=edges)
+    nodes = grow(data.table, features, ["n", "s", "q"], Variance, data.totals, data.cuts, max_depth, min_samples, edges=edges)
     data.release()
-    return Tree(list(features), nodes, {i: mean + n.stats["s"] / n.stats["n"] for i, n in nodes.items()}, shift=mean)
+    return Tree(list(features), nodes, {i: n.mean for i, n in nodes.items()}, shift=mean)
 
 
 def tree_classify_fit(df: DataFrame, features: list, label: str, criterion: str = "gini", min_samples: int = 2,
@@ -221,7 +263,7 @@ def _cut(nodes, at):
         while above > at:
             above //= 2
         if i == at:
-            kept[i] = Node(n.id, n.stats, n.loss, n.size)
+            kept[i] = Node(n.id, n.stats, n.loss, n.size, mean=n.mean)
         elif above != at:
             kept[i] = n
     return kept
@@ -249,11 +291,11 @@ def select_subtree(steps: list, validation: DataFrame, target: str):
     if not n:
         raise ValueError("no validation rows")
     spread = sum(r["q"] for r in rows) - sum(r["s"] for r in rows) ** 2 / n
-    scores = []
+    scores, heap = [], {k: i for i, k in whole.numbers().items()}
     for k, (alpha, tree) in enumerate(steps):
         error = 0.0
         for r in rows:
-            leaf = r["leaf"]
+            leaf = heap[r["leaf"]]
             while leaf not in tree.nodes:
                 leaf //= 2
             v = tree.values[leaf] - shift

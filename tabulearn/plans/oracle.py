@@ -242,7 +242,7 @@ class Tree:
   {', '.join(f'sum({s}) OVER (PARTITION BY node, f ORDER BY v) AS c{s}, sum({s}) OVER (PARTITION BY node, f) AS t{s}' for s in sums)}
   FROM {p}h{k}),
 {p}l{k} AS (SELECT node, f, {point} AS p, {left} + {right} AS loss, {parent} AS parent FROM {p}c{k} WHERE nx IS NOT NULL),
-{p}b{k} AS (SELECT node, f, p, round(1 - loss / nullif(parent, 0), 9) AS gain FROM {p}l{k} WHERE gain > 0
+{p}b{k} AS (SELECT node, f, p, round(1 - loss / nullif(parent, 0), 9) AS gain FROM {p}l{k} WHERE 1 - loss / nullif(parent, 0) > 1e-12
   QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, p) = 1),
 {p}r{k + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node
     WHEN [{', '.join(f'f{i}' for i in range(n_features))}][b.f + 1] <= b.p THEN 2 * r.node ELSE 2 * r.node + 1 END AS node
