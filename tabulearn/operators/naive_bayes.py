@@ -88,7 +88,8 @@ def gaussian_nb_cross_validate(df: DataFrame, features: list, label: str, key: s
     """Accuracy per fold with two jobs for all folds.
 
     Moments per (fold, class) merge exactly, so the model that leaves out a
-    fold is the merge of the other folds' moments.
+    fold is the merge of the other folds' moments. Rows with a null key train
+    every fold and are held out of none.
     """
     fold = F.pmod(F.col(key), F.lit(folds)).cast("int")
     base = df.withColumn("fold", fold)
@@ -111,7 +112,7 @@ def gaussian_nb_cross_validate(df: DataFrame, features: list, label: str, key: s
             col = col - F.lit(0.5) * d * d / F.get(
                 literal_array([1.0 if i is None else m.var[i][j] for m, i in zip(models, at)]), "fold")
         per_class.append(col)
-    scored = base.withColumn("jll", F.array(*per_class))
+    scored = base.filter("fold IS NOT NULL").withColumn("jll", F.array(*per_class))
     return scored.groupBy("fold").agg(
         F.count("*").alias("n"),
         F.avg(argmax_label(F.col("jll"), classes).eqNullSafe(F.col(label)).cast("int")).alias("accuracy"))

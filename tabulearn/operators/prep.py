@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,9 @@ def standardize(df: DataFrame, columns: list, fit_on: DataFrame = None) -> DataF
 
 
 def split_by_key(df: DataFrame, key: str, parts: int, holdout: int = 0):
-    """(train, validation): the validation rows have key mod parts = holdout."""
-    fold = F.pmod(F.col(key), F.lit(parts))
-    return df.filter(fold != holdout), df.filter(fold == holdout)
+    """(train, validation): the validation rows have key mod parts = holdout; a null key is never held out."""
+    held = F.coalesce(F.pmod(F.col(key), F.lit(parts)) == holdout, F.lit(False))
+    return df.filter(~held), df.filter(held)
 
 
 def random_split(df: DataFrame, share: float, seed: int):
@@ -115,14 +116,14 @@ def char_ngrams(df: DataFrame, id_col: str, text: str, low: int = 1, high: int =
 
 
 def pca(df: DataFrame, features, k: int, out: str = "pc") -> DataFrame:
-    """Projection on the top components; each has its largest loading positive."""
+    """Projection of the centred rows on the top components; each has its largest loading positive."""
     vec = df.withColumn("_v", array_to_vector(feature_array(features)))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vec)
     loadings = model.pc.toArray()
     signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
-    scored = model.transform(vec)
-    return scored.withColumn(
-        out, F.zip_with(vector_to_array("_p"), literal_array(signs), lambda a, s: a * s)).drop("_v", "_p")
+    centre = vec.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray() @ loadings
+    off = F.zip_with(vector_to_array("_p"), literal_array(centre), lambda a, c: a - c)
+    return model.transform(vec).withColumn(out, F.zip_with(off, literal_array(signs), lambda a, s: a * s)).drop("_v", "_p")
 
 
 def cross_validate(df: DataFrame, fit, score, key: str, folds: int) -> list:

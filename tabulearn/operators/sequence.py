@@ -152,8 +152,18 @@ def _border(values, states):
     return out, has
 
 
+def _scaled(v, axis=-1):
+    """``v`` over its sum, and the log of that sum; nothing possible stays all zero, with log -inf."""
+    c = v.sum(axis=axis, keepdims=True)
+    with np.errstate(divide="ignore"):
+        return v / np.where(c > 0, c, 1.0), np.log(np.squeeze(c, axis=axis))
+
+
 def forward(p, obs, entry):
-    """Scaled forward vectors and log scales per step; ``entry`` is the vector before the run."""
+    """Scaled forward vectors and log scales per step; ``entry`` is the vector before the run.
+
+    From a step on that the parameters make impossible, the vectors are zero and the log scales -inf.
+    """
     codes, lengths = _padded(obs)
     first, has = _border(entry, len(p.start))
     alpha = np.zeros((*codes.shape, len(p.start)))
@@ -161,11 +171,7 @@ def forward(p, obs, entry):
     for t in range(codes.shape[1]):
         live = lengths > t
         prior = np.where(has[live, None], first[live] @ p.trans, p.start) if t == 0 else alpha[live, t - 1] @ p.trans
-        a = prior * p.emit[:, codes[live, t]].T
-        c = a.sum(1)
-        if (c <= 0).any():
-            raise ValueError("a sequence is impossible under the parameters")
-        alpha[live, t], scale[live, t] = a / c[:, None], np.log(c)
+        alpha[live, t], scale[live, t] = _scaled(prior * p.emit[:, codes[live, t]].T)
     return codes, lengths, alpha, scale
 
 
@@ -179,9 +185,8 @@ def backward(p, codes, lengths, exit_):
         beta[ends, t] = np.where(has[ends, None], last[ends], 1.0)
         live = lengths > t + 1
         if live.any():
-            b = (p.emit[:, codes[live, t + 1]].T * beta[live, t + 1]) @ p.trans.T
-            c = b.sum(1)
-            beta[live, t], logs[live, t] = b / c[:, None], logs[live, t + 1] + np.log(c)
+            beta[live, t], c = _scaled((p.emit[:, codes[live, t + 1]].T * beta[live, t + 1]) @ p.trans.T)
+            logs[live, t] = logs[live, t + 1] + c
     return beta, logs
 
 
@@ -189,9 +194,8 @@ def run_matrix(p, obs):
     """Scaled product of the steps after the first, and its log scale."""
     m, log = np.eye(len(p.start)), 0.0
     for o in obs[1:]:
-        m = (m @ p.trans) * p.emit[:, o]
-        c = m.sum()
-        m, log = m / c, log + np.log(c)
+        m, c = _scaled(((m @ p.trans) * p.emit[:, o]).ravel())
+        m, log = m.reshape(len(p.start), -1), log + c
     return m, log
 
 
@@ -241,16 +245,14 @@ def _borders(runs: Runs, p: HmmParams) -> DataFrame:
         for first, m, scale in zip(pdf["first"], ms, pdf["log"]):
             entry.append(vec)
             entry_log.append(log)
-            vec = (p.start if vec is None else vec @ p.trans) * p.emit[:, first] @ m
-            c = vec.sum()
-            vec, log = vec / c, log + scale + np.log(c)
+            vec, c = _scaled((p.start if vec is None else vec @ p.trans) * p.emit[:, first] @ m)
+            log = log + scale + c
         leave, leave_log, vec, log = [], [], np.ones(s), 0.0
         for i in range(len(ms) - 1, -1, -1):
             leave.append(None if i == len(ms) - 1 else vec)
             leave_log.append(log)
-            vec = p.trans @ (p.emit[:, pdf["first"][i]] * (ms[i] @ vec))
-            c = vec.sum()
-            vec, log = vec / c, log + pdf["log"][i] + np.log(c)
+            vec, c = _scaled(p.trans @ (p.emit[:, pdf["first"][i]] * (ms[i] @ vec)))
+            log = log + pdf["log"][i] + c
         return pd.DataFrame({"seq": pdf["seq"], "run": pdf["run"], "entry": entry, "entry_log": entry_log,
                              "exit": leave[::-1], "exit_log": leave_log[::-1]})
 
@@ -327,7 +329,7 @@ def backward_log_likelihood(runs: Runs, p: HmmParams) -> DataFrame:
     def rows(g, codes, lengths, alpha, scale):
         beta, logs = backward(p, codes, lengths, list(g["exit"]))
         first = np.array([e is None for e in g["entry"]])
-        like = np.log((p.start * p.emit[:, codes[:, 0]].T * beta[:, 0]).sum(1)) + logs[:, 0] + g["exit_log"].to_numpy()
+        like = _scaled(p.start * p.emit[:, codes[:, 0]].T * beta[:, 0])[1] + logs[:, 0] + g["exit_log"].to_numpy()
         return pd.DataFrame({"seq": g["seq"][first], "log_likelihood": like[first]})
 
     schema = T.StructType([_seq_field(runs.table), T.StructField("log_likelihood", T.DoubleType())])
@@ -347,7 +349,8 @@ def expected_counts(runs: Runs, p: HmmParams) -> dict:
             beta, _ = backward(p, codes, lengths, list(g["exit"]))
             live = np.arange(codes.shape[1])[None, :] < lengths[:, None]
             gamma = alpha * beta
-            gamma = np.where(live[:, :, None], gamma / np.where(live, gamma.sum(2), 1.0)[:, :, None], 0.0)
+            total = gamma.sum(2)  # zero all along an impossible sequence, which then counts nothing
+            gamma = np.where(live[:, :, None], gamma / np.where(total > 0, total, 1.0)[:, :, None], 0.0)
             for o in range(v):
                 emit[:, o] += gamma[(codes == o) & live].sum(0)
             first = np.array([e is None for e in g["entry"]])
@@ -359,7 +362,8 @@ def expected_counts(runs: Runs, p: HmmParams) -> dict:
             into[:, 0] &= has
             right = p.emit.T[codes[into]] * beta[into]
             pair = prev[into][:, :, None] * p.trans[None] * right[:, None, :]
-            xi += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            total = pair.sum((1, 2), keepdims=True)
+            xi += (pair / np.where(total > 0, total, 1.0)).sum(0)
         return np.concatenate([start, xi.ravel(), emit.ravel(), [start.sum()]])
 
     table = _with_borders(runs, p).select("seq", "obs", "entry", "exit")
@@ -378,6 +382,8 @@ def hmm_fit(runs: Runs, start: HmmParams, eps: float = 1e-3, max_iter: int = 100
     p, done, step = start, False, 0
     for step in range(1, max_iter + 1):
         c = expected_counts(runs, p)
+        if not c["sequences"]:
+            raise ValueError("every sequence is impossible under the parameters")
         new = HmmParams(p.symbols, c["start"] / c["sequences"], _rows_to_one(c["trans"], p.trans),
                         _rows_to_one(c["emit"], p.emit))
         moves = [np.linalg.norm(a - b) for a, b in ((new.start, p.start), (new.trans, p.trans), (new.emit, p.emit))]

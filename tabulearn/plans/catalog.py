@@ -19,12 +19,8 @@ def query(fn):
     return fn
 
 
-# The key that spreads a table stored in fewer splits than there are cores.
-KEY = {"lineitem": "l_orderkey", "documents": "doc_id", "events": "event_id", "embeddings": "vec_id", "labels": "doc_id"}
-
-
 def table(spark, sf_dir, name) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", KEY[name])
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
@@ -717,3 +713,106 @@ def hmm_baum_welch(spark, d):
 @query
 def hmm_viterbi(spark, d):
     return by_event(sequence.hmm_decode(event_runs(spark, d), hmm_start()))
+
+
+# ---- whole fits, and the other side of each switch that depends on the size ----
+
+def suppliers(spark, d):
+    """Targets over nine decades, and a label of three classes."""
+    size = F.pow(F.lit(10.0), (F.col("s_suppkey") % 10).cast("double"))
+    return table(spark, d, "supplier").withColumn("wide", size + F.col("s_nationkey")).withColumn("third", F.col("s_nationkey") % 3)
+
+
+@query
+def tree_regress_full(spark, d):
+    df = suppliers(spark, d)
+    return trees.tree_regress_fit(df, ["s_acctbal"], "s_nationkey").predict(df).select("s_suppkey", F.round("prediction", 8).alias("prediction"))
+
+
+@query
+def tree_regress_wide(spark, d):
+    df = suppliers(spark, d)
+    return trees.tree_regress_fit(df, ["s_acctbal"], "wide").predict(df).select("s_suppkey", F.round("prediction", 4).alias("prediction"))
+
+
+@query
+def tree_classify_full(spark, d):
+    df = suppliers(spark, d)
+    return trees.tree_classify_fit(df, ["s_acctbal"], "third").predict(df).select("s_suppkey", "prediction")
+
+
+@query
+def split_by_null_key(spark, d):
+    keyed = lineitem(spark, d).select(*LINE, F.nullif(F.col("l_orderkey"), F.col("l_orderkey") - F.col("l_orderkey") % 7).alias("key"))
+    train, held = prep.split_by_key(keyed, "key", 10)
+    return train.select(*LINE, F.lit("train").alias("part")).unionByName(held.select(*LINE, F.lit("held").alias("part")))
+
+
+@query
+def pca_centre(spark, d):
+    df = prep.pca(table(spark, d, "embeddings"), "embedding", 2)
+    pc = [F.get("pc", F.lit(i)) for i in range(2)]
+    names = ["mean1", "mean2", "cross"]
+    return df.agg(F.count("*").alias("n"), *[(F.round(F.avg(v), 9) + F.lit(0.0)).alias(n) for n, v in zip(names, [*pc, pc[0] * pc[1]])])
+
+
+@query
+def best_split_bucketed(spark, d):
+    out = splits.best_split(lineitem(spark, d), ["l_extendedprice"], "l_quantity", node="l_linenumber", max_distinct=1000, buckets=16)
+    return out.select("node", "feature", F.round("point", 4).alias("point"), F.round("gain", 7).alias("gain"))
+
+
+@query
+def price_roc_bucketed(spark, d):
+    out = metrics.roc_points(lineitem(spark, d), F.col("l_linestatus") == "O", "l_quantity", max_distinct=10, buckets=8)
+    return rounded(out, tpr=8, fpr=8)
+
+
+@query
+def boosted_trees_uncollapsed(spark, d):
+    """Rows as they are, and the score written out every round."""
+    df = lineitem(spark, d)
+    model = boosting.boosted_trees_fit(df, S.X3, "l_extendedprice", 2, max_depth=2, collapse_rows=False, checkpoint_every=1)
+    return rounded(rooted(model.table(spark).drop("label")), impurity=1, value=4)
+
+
+@query
+def svm_decision_tiled(spark, d):
+    return rounded(svm_scored(embeddings(spark, d), tile_rows=64, max_inline=0), score=7)
+
+
+def split_runs(spark, d):
+    """Every sequence in several runs and partitions."""
+    return sequence.pack_sequences(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_id", "event_type", S.SYMBOLS,
+                                   max_run=16, partitions=4)
+
+
+@query
+def hmm_forward_split(spark, d):
+    return rounded(by_event(sequence.forward_table(split_runs(spark, d), hmm_start())), log_alpha=6)
+
+
+@query
+def hmm_backward_split(spark, d):
+    return rounded(by_event(sequence.backward_table(split_runs(spark, d), hmm_start())), log_beta=6)
+
+
+@query
+def hmm_baum_welch_split(spark, d):
+    p, _, _ = sequence.hmm_fit(split_runs(spark, d), hmm_start(), eps=0.0, max_iter=1)
+    return rounded(p.table(spark).withColumn("i", F.coalesce("i", F.lit(-1))), p=8)
+
+
+@query
+def hmm_viterbi_split(spark, d):
+    return by_event(sequence.hmm_decode(split_runs(spark, d), hmm_start()))
+
+
+@query
+def hmm_impossible(spark, d):
+    """Days on which an event happens that no state emits have the logarithm of zero."""
+    emit = [[0.0 if s == "error" else v for s, v in zip(S.SYMBOLS, row)] for row in S.HMM_EMIT]
+    p = sequence.HmmParams.of(S.SYMBOLS, S.HMM_START, S.HMM_TRANS, emit)
+    days = table(spark, d, "events").withColumn("day", F.col("user_id") * 1000 + F.dayofyear("ts"))
+    runs = sequence.pack_sequences(days, "day", ["ts", "event_id"], "event_id", "event_type", S.SYMBOLS)
+    return rounded(sequence.log_likelihood(runs, p).withColumnRenamed("seq", "day"), log_likelihood=6)

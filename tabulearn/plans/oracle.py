@@ -731,3 +731,37 @@ tr AS (SELECT vt.user_id, vt.event_id, vt.t, list_position([{', '.join(f'round(d
     FROM vt JOIN obs USING (user_id, event_id) WHERE vt.t = len
   UNION ALL SELECT p.user_id, p.event_id, p.t, tr.k[tr.state + 1], [p.k0, p.k1, p.k2] FROM tr JOIN vt p ON p.user_id = tr.user_id AND p.t = tr.t - 1)""") + """
 SELECT user_id, event_id, state::INTEGER AS state FROM tr"""
+
+
+# ---- whole fits, and the other side of each switch that depends on the size ----
+
+# A tree that grows until it is pure or cannot be improved gives each distinct value of its one feature the mean of its rows.
+SQL["tree_regress_full"] = "SELECT s_suppkey, round(avg(s_nationkey) OVER (PARTITION BY s_acctbal), 8) AS prediction FROM supplier"
+SQL["tree_regress_wide"] = """
+SELECT s_suppkey, round(avg(power(10.0::DOUBLE, s_suppkey % 10) + s_nationkey) OVER (PARTITION BY s_acctbal), 4) AS prediction FROM supplier"""
+SQL["tree_classify_full"] = """
+WITH c AS (SELECT s_acctbal, s_nationkey % 3 AS third, count(*) AS n FROM supplier GROUP BY ALL),
+best AS (SELECT s_acctbal, third AS prediction FROM c QUALIFY row_number() OVER (PARTITION BY s_acctbal ORDER BY n DESC, third) = 1)
+SELECT s_suppkey, prediction FROM supplier JOIN best USING (s_acctbal)"""
+SQL["split_by_null_key"] = f"""
+SELECT {KEYS}, CASE WHEN l_orderkey % 7 <> 0 AND (l_orderkey % 10) = 0 THEN 'held' ELSE 'train' END AS part FROM lineitem"""
+SQL["pca_centre"] = "SELECT count(*) AS n, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS \"cross\" FROM embeddings"
+for _name, _same in (("best_split_bucketed", "best_split_continuous"), ("price_roc_bucketed", "price_roc"), ("boosted_trees_uncollapsed", "boosted_trees"),
+                     ("svm_decision_tiled", "svm_decision"), ("hmm_forward_split", "hmm_forward"), ("hmm_backward_split", "hmm_backward"),
+                     ("hmm_baum_welch_split", "hmm_baum_welch"), ("hmm_viterbi_split", "hmm_viterbi")):
+    SQL[_name] = SQL[_same]
+
+
+def emit_not(symbol, i, o="o"):
+    return f"([{', '.join(repr(0.0 if s == symbol else v) for s, v in zip(S.SYMBOLS, S.HMM_EMIT[i]))}]::DOUBLE[])[{o} + 1]"
+
+
+SQL["hmm_impossible"] = f"""
+WITH RECURSIVE days AS (SELECT user_id * 1000 + dayofyear(ts) AS day, ts, event_id, CASE event_type {_codes} END AS o FROM events),
+obs AS (SELECT day, o, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY day) AS len FROM days),
+fw AS (SELECT day, t, len, {', '.join(f'{num(S.HMM_START[i])} * {emit_not("error", i)} AS a{i}' for i in _states)} FROM obs WHERE t = 1
+  UNION ALL SELECT n.day, n.t, n.len,
+  {', '.join('(' + ' + '.join(f'a{i} * {num(S.HMM_TRANS[i][j])}' for i in _states) + f') * {emit_not("error", j, "n.o")}' for j in _states)}
+  FROM fw JOIN obs n ON n.day = fw.day AND n.t = fw.t + 1)
+SELECT day, CASE WHEN a0 + a1 + a2 > 0 THEN {r0('ln(greatest(a0 + a1 + a2, 1e-300))', 6, 'x').replace(' AS x', '')} ELSE '-inf'::DOUBLE END AS log_likelihood
+FROM fw WHERE t = len"""

@@ -3,14 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str = None) -> DataFrame:
-    """A parquet table, spread over the cores when it is stored in fewer splits.
-
-    A large table has more splits than the cluster has cores and is read as it
-    is; only a table too small for that is shuffled, once, by ``spread_by``.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is None or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, spread_by)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table in the splits that the session's file settings give it."""
+    return spark.read.parquet(path)
