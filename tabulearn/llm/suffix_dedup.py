@@ -171,6 +171,22 @@ def keep_first_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"), row.alias("row"))
 
 
+def by_document(doc, key, place):
+    """Places with equal document and key as one row: (doc, key, list of places), places ascending."""
+    order = np.lexsort((place, key, doc))
+    doc, key, place = doc[order], key[order], place[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+    return doc[first], key[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(place))
+
+
+def contexts_of(text: bytes, places: np.ndarray, span: int) -> dict:
+    """{(low, high, bytes): offsets} of one document's triggers with one key; periodic text has few different ones."""
+    out = {}
+    for at, low, high in zip((places >> 16).tolist(), (places >> 8 & 255).tolist(), (places & 255).tolist()):
+        out.setdefault((low, high, text[at - high : at - low + span]), []).append(at)
+    return out
+
+
 def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     """(id, mark, s, e): byte ranges covered by repeated strings, some per document, overlapping."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -180,65 +196,63 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             flat, offsets = utf8_buffer(batch.column("text"))
             for doc, at, low, high, key in triggers(flat, offsets, span, constants):
-                # place: offset, nearest and farthest start in one number
-                place = at << 16 | low << 8 | high
+                # A place is the trigger's offset, and its nearest and farthest start, in one number.
+                doc, key, places = by_document(doc, key, at << 16 | low << 8 | high)
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(key), pa.array(place)],
-                                                 ["id", "mark", "key", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(key), places], ["id", "mark", "key", "places"])
 
-    found = docs.mapInArrow(parse, f"id {kind}, mark long, key long, place long")
-    found = found.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    listed = found.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "place", (F.col("n") > HOT).alias("hot"))).alias("found"))
-    listed = listed.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "found")
-    with_text = docs.join(listed, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))).select("id", "mark", "text", "found")
+    found = docs.mapInArrow(parse, f"id {kind}, mark long, key long, places array<long>")
+    same = Window.partitionBy("key")
+    found = found.withColumn("rows", F.count("*").over(same)).where((F.col("rows") > 1) | (F.size("places") > 1))
 
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_py().encode()
                 found = batch.column("found").slice(i, 1).flatten()
-                place = found.field("place").to_numpy()
-                at, low, high = place >> 16, place >> 8 & 255, place & 255
-                for k in range(0, len(place), 4096):
-                    block = slice(k, k + 4096)
-                    context = [text[s:e] for s, e in zip((at - high)[block].tolist(), (at - low + span)[block].tolist())]
-                    n = len(context)
-                    same = pa.array(np.zeros(n, np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").slice(i, 1).take(same), batch.column("mark").slice(i, 1).take(same), found.field("key").slice(k, 4096),
-                         found.field("place").slice(k, 4096), found.field("hot").slice(k, 4096), pa.array(context, pa.binary())],
-                        ["id", "mark", "key", "place", "hot", "context"])
-
-    # Both branches below read this; the shuffles before it are the same and run once.
-    contexts = with_text.mapInArrow(cut, f"id {kind}, mark long, key long, place long, hot boolean, context binary")
+                text, lists, key = batch.column("text")[i].as_py().encode(), found.field("places"), found.field("key").to_numpy()
+                rows = []
+                for k in range(len(key)):
+                    for (low, high, context), at in contexts_of(text, lists[k].values.to_numpy(), span).items():
+                        rows.append((int(key[k]), low, high, at, context))
+                same = pa.array(np.zeros(len(rows), np.int32))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).take(same), batch.column("mark").slice(i, 1).take(same), *columns],
+                                                 ["id", "mark", "key", "low", "high", "at", "context"])
+
+    def contexts(which):
+        listed = found.where(which).groupBy("id", "mark").agg(F.collect_list(F.struct("key", "places")).alias("found"))
+        listed = listed.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "found")
+        # The same columns as in the last join of the texts, so that all of these joins read one shuffle of them.
+        with_text = docs.join(listed, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))).select("id", "mark", "text", "row", "found")
+        return with_text.mapInArrow(cut, f"id {kind}, mark long, key long, low int, high int, at array<long>, context binary")
 
     def order(batches):
         for table in whole_groups(batches, ORDER_ROWS):
-            place = table.column("place").to_numpy()
-            at, low, high = place >> 16, place >> 8 & 255, place & 255
+            low, high = table.column("low").to_numpy().astype(np.int64), table.column("high").to_numpy().astype(np.int64)
             near, far = repeated_starts(table.column("key").to_numpy(), table.column("context").to_pylist(), low, high, span)
+            at = table.column("at").combine_chunks()
+            often = at.value_lengths().to_numpy() > 1  # equal contexts in one document repeat as a whole
+            near, far = np.where(often, low, near), np.where(often, high, far)
             hit = np.flatnonzero(far >= 0)
-            out = table.select(["id", "mark"]).take(pa.array(hit))
-            out = out.append_column("s", pa.array((at - far)[hit])).append_column("e", pa.array((at - near)[hit] + span))
+            lists = at.take(pa.array(hit))
+            who = np.repeat(hit, lists.value_lengths().to_numpy())
+            where = lists.flatten().to_numpy()
+            out = table.select(["id", "mark"]).take(pa.array(who))
+            out = out.append_column("s", pa.array(where - far[who])).append_column("e", pa.array(where - near[who] + span))
             yield from out.to_batches()
 
-    spans = contexts.where("not hot").select("id", "mark", "key", "place", "context")
-    spans = spans.repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark long, s long, e long")
+    spans = contexts(F.col("rows") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark long, s long, e long")
 
     def every_start(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                place = part.column("place").to_numpy()
-                context, high = part.column("context").to_pylist(), place & 255
-                count = high - (place >> 8 & 255) + 1
-                digests = [hashlib.md5(c[j : j + span]).digest() for c, n in zip(context, count.tolist()) for j in range(n)]
-                row = np.repeat(np.arange(len(count)), count)
-                start = np.repeat((place >> 16) - high, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), part.column("mark").take(pa.array(row)), pa.array(start), pa.array(digests, pa.binary())],
-                                                 ["id", "mark", "s", "digest"])
-
-    starts = contexts.where("hot").mapInArrow(every_start, f"id {kind}, mark long, s long, digest binary")
+            for i in range(batch.num_rows):
+                context, low, high, places = (batch.column(c)[i].as_py() for c in ("context", "low", "high", "at"))
+                starts = [(at - high + j, hashlib.md5(context[j : j + span]).digest()) for j in range(high - low + 1) for at in places]
+                same = pa.array(np.zeros(len(starts), np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).take(same), batch.column("mark").slice(i, 1).take(same),
+                                                  pa.array([s for s, _ in starts], pa.int64()), pa.array([d for _, d in starts], pa.binary())], ["id", "mark", "s", "digest"])
+
+    starts = contexts(F.col("rows") > HOT).mapInArrow(every_start, f"id {kind}, mark long, s long, digest binary")
     twice = starts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     hot_spans = starts.join(twice, "digest").select("id", "mark", "s", (F.col("s") + span).alias("e"))
     return spans.unionByName(hot_spans)
@@ -259,9 +273,9 @@ def with_spans(df: DataFrame, span: int, id_col: str, text_col: str) -> DataFram
     if not REACH + GRAM <= span <= 2**15:
         raise ValueError(f"span must be at least {REACH + GRAM}")
     docs = keep_first_columns(df, id_col, text_col)
-    spans = repeated_spans(docs.drop("row"), span).groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(docs, span).groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "spans")
-    return docs.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("row", "text", "spans")
+    return docs.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("id", "row", "text", "spans")
 
 
 def gaps(batch):
@@ -302,7 +316,7 @@ def remove_repeats(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_
                 [batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
                 [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = with_spans(df.select(id_col, text_col), span, id_col, text_col).select(F.col(f"row.`{id_col}`").alias("id"), "text", "spans")
+    joined = with_spans(df.select(id_col, text_col), span, id_col, text_col).select("id", "text", "row", "spans")
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
