@@ -63,9 +63,10 @@ def random_split(df: DataFrame, share: float, seed: int):
 
 
 def word_counts(df: DataFrame, keep: list, text: str) -> DataFrame:
-    """(keep.., token, n) for every row's words."""
+    """(keep.., token, n) for every row's words; ``keep`` starts with the row's id."""
+    # Dealt out by id once: the count below then needs no shuffle of the words.
     return (
-        df.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("token"))
+        df.select(*keep, text).repartition(keep[0]).select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("token"))
         .groupBy(*keep, "token").agg(F.count("*").alias("n"))
     )
 
@@ -106,8 +107,9 @@ def char_ngrams(df: DataFrame, id_col: str, text: str, low: int = 1, high: int =
         return F.concat(*[of_size(word, n) for n in range(low, high + 1)])
 
     # Count the words first: n-grams are then cut once per distinct word of a document.
+    # The texts are dealt out by id once, which serves both counts.
     words = (
-        df.select(id_col, *keep, F.explode(F.split(F.lower(text), r"\s+")).alias("_w")).filter(F.col("_w") != "")
+        df.select(id_col, *keep, text).repartition(id_col).select(id_col, *keep, F.explode(F.split(F.lower(text), r"\s+")).alias("_w")).filter(F.col("_w") != "")
         .groupBy(id_col, *keep, "_w").agg(F.count("*").alias("n")))
     counts = (
         words.select(id_col, *keep, "n", F.explode(grams(F.concat(F.lit(" "), "_w", F.lit(" ")))).alias("token"))

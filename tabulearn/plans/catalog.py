@@ -816,3 +816,11 @@ def hmm_impossible(spark, d):
     days = table(spark, d, "events").withColumn("day", F.col("user_id") * 1000 + F.dayofyear("ts"))
     runs = sequence.pack_sequences(days, "day", ["ts", "event_id"], "event_id", "event_type", S.SYMBOLS)
     return rounded(sequence.log_likelihood(runs, p).withColumnRenamed("seq", "day"), log_likelihood=6)
+
+
+@query
+def coin_em_converged(spark, d):
+    """Every step of a fit that ends by itself, and whether it had converged there."""
+    fit = mixture.coin_em_fit(purchase_trials(spark, d), "heads", "n", *S.COIN_START)
+    steps = fit.table(spark).withColumn("converged", (F.col("step") == fit.iterations) & F.lit(fit.converged))
+    return rounded(steps, theta_a=8, theta_b=8)

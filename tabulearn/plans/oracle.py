@@ -765,3 +765,14 @@ fw AS (SELECT day, t, len, {', '.join(f'{num(S.HMM_START[i])} * {emit_not("error
   FROM fw JOIN obs n ON n.day = fw.day AND n.t = fw.t + 1)
 SELECT day, CASE WHEN a0 + a1 + a2 > 0 THEN {r0('ln(greatest(a0 + a1 + a2, 1e-300))', 6, 'x').replace(' AS x', '')} ELSE '-inf'::DOUBLE END AS log_likelihood
 FROM fw WHERE t = len"""
+
+_pa = "1 / (1 + exp(heads * ln(tb / ta) + (n - heads) * ln((1 - tb) / (1 - ta))))"
+SQL["coin_em_converged"] = f"""
+WITH RECURSIVE tr AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS heads, count(*) AS n FROM events GROUP BY user_id),
+em AS (
+  SELECT 0 AS step, {num(S.COIN_START[0])} AS ta, {num(S.COIN_START[1])} AS tb, 1.0::DOUBLE AS moved
+  UNION ALL
+  SELECT step + 1, na, nb, sqrt((na - ta) * (na - ta) + (nb - tb) * (nb - tb))
+  FROM (SELECT *, (SELECT sum({_pa} * heads) / sum({_pa} * n) FROM tr) AS na,
+               (SELECT sum((1 - {_pa}) * heads) / sum((1 - {_pa}) * n) FROM tr) AS nb FROM em WHERE moved >= 1e-3 AND step < 1000))
+SELECT step::INTEGER AS step, {r0('ta', 8, 'theta_a')}, {r0('tb', 8, 'theta_b')}, moved < 1e-3 AS converged FROM em"""
