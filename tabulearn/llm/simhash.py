@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulearn.llm.components import connected_components
@@ -105,9 +105,8 @@ def links(fps: DataFrame, distance: int, n: int = None) -> DataFrame:
     ``fps`` has distinct values. Variants with few fingerprints give their verified pairs. Larger ones, as groups of
     near copies make them, are cut into blocks; each pair of blocks gives one spanning forest, never its pairs.
     """
-    index = variants(fps, distance, n)
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpointed(index.join(shared, "key"))
+    met = variants(fps, distance, n).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    met = checkpointed(met)
     few = met.where(F.col("n") <= BUCKET_PAIRS).select("key", "fp")
     pairs = few.join(few.withColumnRenamed("fp", "other"), "key").where((F.col("fp") < F.col("other")) & (far_apart("fp", "other") <= distance))
     pairs = pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))
