@@ -19,6 +19,19 @@ def worth_collapsing(rows: int, distinct: int) -> bool:
 
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
+
+
+def within(df: DataFrame, rows: int, size: int = None) -> bool:
+    """Whether a table has at most ``rows`` rows and about ``size`` bytes; one aggregate."""
+    def width(field):
+        kind = field.dataType.typeName()
+        if kind == "string":
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+        return F.greatest(F.size(field.name), F.lit(0)) * 8 + 8 if kind == "array" else F.lit(8)
+
+    found = df.agg(F.count("*").alias("n"), F.sum(sum((width(f) for f in df.schema.fields), F.lit(0))).alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= (BROADCAST_BYTES if size is None else size)
 
 
 def keyed_join(big: DataFrame, small: DataFrame, key: str, salt_from: Column, how: str = "inner", salts: int = 16,
@@ -26,11 +39,11 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str, salt_from: Column, ho
     """Equi-join where one key of ``big`` may hold a large share of the rows.
 
     ``small`` has one row per key and is cheap to count (written out). Up to
-    ``broadcast_rows`` rows it is copied to every task; beyond, ``big`` is
-    spread over salts and ``small`` is repeated once per salt.
+    ``broadcast_rows`` rows and ``BROADCAST_BYTES`` it is copied to every task;
+    beyond, ``big`` is spread over salts and ``small`` is repeated once per salt.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    if small.count() <= limit:
+    if within(small, limit):
         return big.join(F.broadcast(small), key, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))

@@ -203,3 +203,54 @@ def test_scoring_takes_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").filter("prediction = y").count() == 12
+
+
+def test_tree_deeper_than_a_heap_number(spark):
+    """A chain of 70 splits, whose last nodes have heap numbers over 63 bits."""
+    nodes, values, at = {}, {}, 1
+    for k in range(70):
+        nodes[at] = trees.Node(at, {}, 1.0, 2.0, feature=0, point=69.5 - k, mean=0.0)
+        nodes[2 * at + 1] = trees.Node(2 * at + 1, {}, 0.0, 1.0, mean=70.0 - k)
+        at *= 2
+    nodes[at] = trees.Node(at, {}, 0.0, 1.0, mean=0.0)
+    tree = trees.Tree(["x"], nodes, {i: n.mean for i, n in nodes.items()})
+    df = spark.range(71).select(F.col("id").cast("double").alias("x"))
+    assert all(r["x"] == r["prediction"] for r in tree.predict(df).collect())
+    table = tree.table(spark).collect()
+    assert len({r["node_id"] for r in table}) == 141 and {r["parent_id"] for r in table} - {None} <= {r["node_id"] for r in table}
+    assert {r["branch_true"] for r in tree.edges(spark).where("parent_id is not null").collect()} == {True, False}
+
+
+def test_targets_far_from_the_mean_are_split(spark):
+    rows = [(float(i), float(i) if i < 12 else 1e9 + i) for i in range(24)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    tree = trees.tree_regress_fit(df, ["x"], "y")
+    assert len(tree.leaves()) == 24 and all(n.loss == 0 for n in tree.leaves())
+    assert [r["prediction"] for r in tree.predict(df).orderBy("x").collect()] == [y for _, y in rows]
+
+
+def test_null_keys_train(spark):
+    df = spark.createDataFrame([(0, 1.0), (None, 2.0), (3, 3.0)], "k long, v double")
+    train, held = prep.split_by_key(df, "k", 3, 0)
+    assert sorted(r["v"] for r in train.collect()) == [2.0] and sorted(r["v"] for r in held.collect()) == [1.0, 3.0]
+
+
+def test_components_are_centred(spark):
+    df = spark.createDataFrame([(i, [float(i) + 5, 2.0 * i + 7, 3.0]) for i in range(9)], "id long, x array<double>")
+    out = [r["pc"] for r in prep.pca(df, "x", 2).collect()]
+    assert abs(sum(p[0] for p in out)) < 1e-9 and abs(sum(p[1] for p in out)) < 1e-9 and max(p[0] for p in out) > 5
+
+
+@pytest.mark.parametrize("options", [{}, {"max_run": 2, "partitions": 2}])
+def test_impossible_sequences_have_no_likelihood(spark, options):
+    p = sequence.HmmParams.of(("a", "b", "c"), [0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [[0.7, 0.3, 0.0], [0.4, 0.6, 0.0]])
+    rows = [(s, t, 10 * s + t, o) for s, text in enumerate(["abab", "abcab", "c", "bbba"]) for t, o in enumerate(text)]
+    df = spark.createDataFrame(rows, "s long, t int, id long, o string")
+    runs = sequence.pack_sequences(df, "s", ["t"], "id", "o", p.symbols, **options)
+    ahead = {r["seq"]: r["log_likelihood"] for r in sequence.log_likelihood(runs, p).collect()}
+    back = {r["seq"]: r["log_likelihood"] for r in sequence.backward_log_likelihood(runs, p).collect()}
+    assert ahead[1] == ahead[2] == back[1] == back[2] == float("-inf")
+    assert ahead[0] == pytest.approx(back[0]) and ahead[3] == pytest.approx(back[3]) and ahead[0] > -10
+    possible = sequence.pack_sequences(df.where("s in (0, 3)"), "s", ["t"], "id", "o", p.symbols)
+    got, want = sequence.expected_counts(runs, p), sequence.expected_counts(possible, p)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
