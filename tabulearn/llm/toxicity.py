@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tabulearn.llm.frames import chunks
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
-TERMS = 2000
-LEAST_DOCS, LEAST_SHARE = 5, 0.8
+TERMS = 500
+LEAST_DOCS, LEAST_PART, LEAST_SHARE = 5, 0.02, 0.8
 STEMS = range(4, 9)
 WINDOW = 60
 KNOWN = 300_000
@@ -37,40 +37,54 @@ def edits_allowed(term: str) -> int:
 
 
 class Trie:
-    """Lexicon words as nested dicts; "" marks the end of a word and holds the edits that it allows."""
+    """Lexicon words by letter; a node knows the edits and lengths that the words below it allow."""
 
     def __init__(self, words):
-        self.root, self.sizes = {}, [(len(w) - edits_allowed(w), len(w) + edits_allowed(w)) for w in words]
-        self.least, self.most = min((s[0] for s in self.sizes), default=0), max((s[1] for s in self.sizes), default=-1)
+        root = {}
         for w in words:
-            node = self.root
+            node = root
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = edits_allowed(w)
+            node[""] = w
+        self.root = self.packed(root)
+
+    def packed(self, node: dict) -> tuple:
+        """(edits at this end or -1, most edits below, shortest and longest match, [(letter, node)])."""
+        below = [(c, self.packed(n)) for c, n in node.items() if c]
+        word = node.get("")
+        ends = [] if word is None else [(edits_allowed(word), len(word) - edits_allowed(word), len(word) + edits_allowed(word))]
+        known = ends + [n[1:4] for _, n in below]
+        return (ends[0][0] if ends else -1, max((k[0] for k in known), default=-1), min((k[1] for k in known), default=0), max((k[2] for k in known), default=-1), below)
 
     def distance(self, word: str) -> int:
         """Fewest edits to a lexicon word that allows them, or -1."""
-        if not self.least <= len(word) <= self.most:
+        size = len(word)
+        if not self.root[2] <= size <= self.root[3]:
             return -1
         places = {}
         for i, c in enumerate(word):
             places[c] = places.get(c, 0) | 1 << i
-        full, end, best = (1 << len(word) + 1) - 1, 1 << len(word), 3
+        full, end, best = (1 << size + 1) - 1, 1 << size, 3
         todo = [(self.root, 1, 3, 7)]
         while todo:
-            node, s0, s1, s2 = todo.pop()
-            for c, below in node.items():
-                if c == "":
-                    hit = 0 if s0 & end else 1 if s1 & end else 2 if s2 & end else 3
-                    if hit <= below and hit < best:
-                        best = hit
+            (allowed, _, _, _, below), s0, s1, s2 = todo.pop()
+            if allowed >= 0:
+                hit = 0 if s0 & end else 1 if s1 & end else 2 if s2 & end else 3
+                if hit <= allowed and hit < best:
+                    best = hit
+            for c, node in below:
+                if not node[2] <= size <= node[3]:
                     continue
                 m = places.get(c, 0)
                 t0 = (s0 & m) << 1
                 t1 = ((s1 & m) << 1 | s0 | s0 << 1 | t0 << 1) & full
-                t2 = ((s2 & m) << 1 | s1 | s1 << 1 | t1 << 1) & full
-                if t2:
-                    todo.append((below, t0, t1, t2))
+                if node[1] < 2:
+                    if t0 if node[1] == 0 else t1:
+                        todo.append((node, t0, t1, 0))
+                else:
+                    t2 = ((s2 & m) << 1 | s1 | s1 << 1 | t1 << 1) & full
+                    if t2:
+                        todo.append((node, t0, t1, t2))
         return best if best < 3 else -1
 
 
@@ -214,7 +228,9 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     grow_toxic, grow_clean = max(1.0, totals[1] / toxic_docs), max(1.0, totals[0] / clean_docs)
     sums = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") * grow_toxic / (F.col("toxic") * grow_toxic + F.col("clean") * grow_clean + 1)
-    kept = sums.where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "feature").limit(TERMS)
+    # Words of a few copies of one document are no terms: a term is in a fiftieth of the toxic sample.
+    least = max(LEAST_DOCS, LEAST_PART * min(totals[1], toxic_docs))
+    kept = sums.where((F.col("toxic") >= least) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "feature").limit(TERMS)
     lexicon = Lexicon(*choose([(r["feature"], r["toxic"]) for r in kept.collect()]))
 
     send = spark.sparkContext.broadcast(lexicon)
