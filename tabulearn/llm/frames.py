@@ -19,6 +19,15 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(folds)
 
 
+def thinned(mark: Column, wanted: int, total: int) -> Column:
+    """Whether a 64-bit hash falls into a share that holds about twice the wanted rows of ``total``.
+
+    A sample of fixed size is then taken from few rows, however many tasks they come from.
+    """
+    share = min(1.0, 2 * wanted / max(total, 1))
+    return F.lit(True) if share == 1.0 else F.shiftrightunsigned(mark, 1) < F.lit(int(share * 2**63))
+
+
 def chunks(values, sizes, most: int):
     """Consecutive slices of ``values`` whose sizes add up to about ``most``; a single larger value stands alone."""
     start = total = 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import blocks, chunks
+from tabulearn.llm.frames import blocks, chunks, thinned
 
 DOCS = 300
 PIECE = 3000
@@ -224,8 +224,10 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     start = (F.pmod(mark, F.greatest(F.length(text_col) - piece + 1, F.lit(1))) + 1).cast("int")
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.col(text_col).substr(start, F.lit(piece)).alias("text"))
-    # The row limit per language is applied in each task before the shuffle.
-    best = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))).where(F.col("place") <= docs)
+    chosen = F.lit(False)
+    for r in rows.groupBy("lang").count().collect():
+        chosen = chosen | ((F.col("lang") == r["lang"]) & thinned(F.col("mark"), docs, r["count"]))
+    best = rows.where(chosen).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))).where(F.col("place") <= docs)
     words = {}
     for r in best.orderBy("lang", "place").toLocalIterator():
         words.setdefault(r["lang"], []).extend(split_words(r["text"]))

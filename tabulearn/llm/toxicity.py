@@ -13,10 +13,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import chunks
+from tabulearn.llm.frames import chunks, thinned
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
 TERMS = 500
@@ -203,9 +203,12 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     spark = df.sparkSession
     marked = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     totals = dict(marked.groupBy("label").count().collect())
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    picked = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(F.col("label") == 1, toxic_docs).otherwise(clean_docs))
-    # At most toxic_docs + clean_docs small rows, so the copy to every task is bounded.
+    mark = F.xxhash64(F.col("id").cast("string"))
+    # At most toxic_docs + clean_docs small rows remain, so their copy to every task is bounded.
+    picked = None
+    for label, most in ((1, toxic_docs), (0, clean_docs)):
+        part = marked.where((F.col("label") == label) & thinned(mark, most, totals.get(label, 0))).orderBy(mark, "id").limit(most)
+        picked = part if picked is None else picked.unionByName(part)
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     sample = docs.join(F.broadcast(picked.select("id", "label")), F.col("doc") == F.col("id")).select("label", "text")
 
