@@ -14,6 +14,7 @@ from tabulearn.llm.frames import WORD
 from tabulearn.session import checkpointed
 
 BUCKET_ROWS = 2000
+PLAN_ROWS = 20_000  # sources, of some hundred bytes each
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
@@ -96,6 +97,12 @@ def repeats() -> Column:
     return F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("int")
 
 
+def with_plan(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows beside their source's plan; a plan of at most ``PLAN_ROWS`` sources goes to every task, so the rows aren't shuffled."""
+    small = found.count() <= PLAN_ROWS
+    return rows.join(F.broadcast(found) if small else found, F.col("source").eqNullSafe(F.col("of")))
+
+
 def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, source, size, source_size, target, repeats, taken) per row.
@@ -107,7 +114,7 @@ def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float
     """
     found = plan(df, weights, share, max_epochs, seed, id_col, text_col, source_col)
     rows = df.select(F.col(id_col).alias("id"), *sized(df, seed, id_col, text_col, source_col))
-    rows = rows.join(found, F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", repeats())
+    rows = with_plan(rows, found).withColumn("repeats", repeats())
     return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
@@ -116,5 +123,5 @@ def mixed_rows(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs:
     """The rows themselves, as often as the mix takes each, with their columns."""
     found = plan(df, weights, share, max_epochs, seed, id_col, text_col, source_col)
     rows = df.select(F.struct(*df.columns).alias("row"), *sized(df, seed, id_col, text_col, source_col))
-    rows = rows.join(found, F.col("source").eqNullSafe(F.col("of"))).where(repeats() > 0)
+    rows = with_plan(rows, found).where(repeats() > 0)
     return rows.select("row", F.explode(F.sequence(F.lit(1), repeats())).alias("turn")).select("row.*")
