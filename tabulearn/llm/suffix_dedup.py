@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.llm.frames import utf8_buffer
 
-REACH = 128
+REACH = 160
 GRAM = 8
 TILE = 1 << 19
 ORDER_ROWS = 16_000
