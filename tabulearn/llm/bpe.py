@@ -2,9 +2,9 @@
 
 A pre-token ("word") is held as a contiguous array of its parts and the rank of every adjacent pair. The array is
 scanned for the smallest rank, the boundary inside that pair is deleted, and the ranks of the two neighbouring pairs
-are refreshed, until no pair has a rank. All new words of a block with equal length are worked on together, one row
-of a matrix each. Words longer than ``SHORT`` bytes, where repeated scans would be quadratic, use a heap instead.
-A worker keeps the words it has met, up to ``KNOWN`` of them.
+are refreshed, until no pair has a rank. All new words of a block with about equal length are worked on together, one row
+of a matrix each. Words longer than the last of ``WIDTHS`` bytes, where repeated scans would be quadratic, use a heap
+instead. A worker keeps the words it has met lately, two generations of ``KNOWN``.
 """
 
 import hashlib
@@ -12,6 +12,7 @@ import heapq
 import json
 import re
 import unicodedata
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from tabulearn.llm.frames import blocks, chunks
 
-SHORT = 64
-KNOWN = 250_000
-BLOCK_CHARS = 1_000_000
+WIDTHS = (8, 16, 64)
+KNOWN = 150_000
+BLOCK_CHARS = 4_000_000
 BLOCK_WORDS = 250_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -40,8 +41,8 @@ class Vocabulary:
     """Tables of one vocabulary: small (some MB), loaded once on the driver and broadcast."""
 
     tokens: list  # token text by id
-    first: np.ndarray  # id of a byte inside a word, and of a byte that ends one
-    last: np.ndarray
+    letters: np.ndarray  # id of a byte inside a word, then of a byte that ends one
+    letter_ranks: np.ndarray  # of a byte and the next letter
     pairs: np.ndarray  # left id * 2**32 + right id, ascending
     ranks: np.ndarray
     made: np.ndarray  # id of a merged pair, by rank
@@ -65,12 +66,13 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         steps = spec["normalizer"]["normalizers"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        letters = byte_letters()
-        return cls(
-            tokens, np.array([vocab[c] for c in letters], np.int32), np.array([vocab[c + end] for c in letters], np.int32),
-            keys[order], order.astype(np.int32), np.array([vocab[a + b] for a, b in merges], np.int32), special, split,
-            any(s["type"] == "Lowercase" for s in steps), any(s["type"] == "NFC" for s in steps),
+        letters = np.array([vocab[c + e] for e in ("", end) for c in byte_letters()], np.int32)
+        loaded = cls(
+            tokens, letters, None, keys[order], order.astype(np.int32), np.array([vocab[a + b] for a, b in merges], np.int32),
+            special, split, any(s["type"] == "Lowercase" for s in steps), any(s["type"] == "NFC" for s in steps),
         )
+        loaded.letter_ranks = loaded.rank(letters[:256, None], letters[None, :]).astype(np.int32)
+        return loaded
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -78,38 +80,39 @@ class Vocabulary:
         return np.where(self.pairs[at] == key, self.ranks[at], NO_RANK)
 
 
-def merge_equal(vocab: Vocabulary, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge words of one length, a row each; returns the final parts (left-aligned) and how many there are."""
-    n, length = parts.shape
-    counts = np.full(n, length)
-    if length < 2:
-        return parts, counts
-    ranks = np.full((n, length), NO_RANK)
-    ranks[:, :-1] = vocab.rank(parts[:, :-1], parts[:, 1:])
+def merge_rows(vocab: Vocabulary, raw: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge words of at most ``width`` bytes, a row each; returns the final parts (left-aligned) and how many there are."""
+    n = len(raw)
+    counts = np.fromiter(map(len, raw), np.int64, n)
+    data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in raw]), np.uint8).reshape(n, width).astype(np.int32)
+    rows = np.arange(n)
+    data[rows, counts - 1] += 256  # a byte that ends a word is a letter of its own
+    parts = vocab.letters[data]
+    ranks = np.full((n, width), NO_RANK)
+    ranks[:, :-1] = vocab.letter_ranks[data[:, :-1] & 255, data[:, 1:]]
+    columns = np.arange(width)
+    ranks[columns >= counts[:, None] - 1] = NO_RANK
     live = np.flatnonzero(ranks.min(axis=1) != NO_RANK)
-    columns = np.arange(length)
+    p, r, c = parts[live], ranks[live], counts[live]
     while len(live):
-        p, r = parts[live], ranks[live]
         at = r.argmin(axis=1)
         rows = np.arange(len(live))
         merged = vocab.made[r[rows, at]]
         # Deleting the boundary moves everything behind it one place to the left.
-        source = np.minimum(columns + (columns > at[:, None]), length - 1)
-        p = np.take_along_axis(p, source, 1)
-        r = np.take_along_axis(r, np.minimum(columns + (columns >= at[:, None]), length - 1), 1)
+        p[:, :-1] = np.where(columns[:-1] > at[:, None], p[:, 1:], p[:, :-1])
+        r[:, :-1] = np.where(columns[:-1] >= at[:, None], r[:, 1:], r[:, :-1])
         p[rows, at] = merged
-        counts[live] -= 1
-        left = at > 0
-        if left.any():
-            a, b = rows[left], at[left]
-            r[a, b - 1] = vocab.rank(p[a, b - 1], p[a, b])
-        right = at < counts[live] - 1
-        if right.any():
-            a, b = rows[right], at[right]
-            r[a, b] = vocab.rank(p[a, b], p[a, b + 1])
-        r[rows[~right], at[~right]] = NO_RANK
-        parts[live], ranks[live] = p, r
-        live = live[r.min(axis=1) != NO_RANK]
+        r[:, -1] = NO_RANK
+        c -= 1
+        left, right = np.flatnonzero(at > 0), np.flatnonzero(at < c - 1)
+        r[left, at[left] - 1] = vocab.rank(p[left, at[left] - 1], merged[left])
+        r[rows, at] = NO_RANK
+        r[right, at[right]] = vocab.rank(merged[right], p[right, at[right] + 1])
+        go = r.min(axis=1) != NO_RANK
+        if not go.all():
+            done = ~go
+            parts[live[done]], counts[live[done]] = p[done], c[done]
+            live, p, r, c = live[go], p[go], r[go], c[go]
     return parts, counts
 
 
@@ -145,23 +148,21 @@ def merge_long(vocab: Vocabulary, parts: list) -> list:
 def encode_words(vocab: Vocabulary, words: list) -> list:
     """Token ids (a list) of every word."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    sizes = np.array([len(b) for b in raw])
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     out = [()] * len(words)
-    for size in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == size)
-        if size == 0:
-            continue
-        for part in np.array_split(rows, -(-len(rows) * size // 2_000_000)):
-            data = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8).reshape(len(part), size)
-            ids = vocab.first[data]
-            ids[:, -1] = vocab.last[data[:, -1]]
-            if size > SHORT:
-                for i, row in zip(part.tolist(), ids.tolist()):
-                    out[i] = merge_long(vocab, row)
-                continue
-            ids, counts = merge_equal(vocab, ids)
-            for i, row, n in zip(part.tolist(), ids.tolist(), counts.tolist()):
-                out[i] = row[:n]
+    low = 0
+    for width in WIDTHS:
+        rows = np.flatnonzero((sizes > low) & (sizes <= width))
+        low = width
+        for part in np.array_split(rows, -(-len(rows) * width // 2_000_000) or 1):
+            if len(part):
+                ids, counts = merge_rows(vocab, [raw[i] for i in part.tolist()], width)
+                for i, row, n in zip(part.tolist(), ids.tolist(), counts.tolist()):
+                    out[i] = row[:n]
+    for i in np.flatnonzero(sizes > low).tolist():
+        data = np.frombuffer(raw[i], np.uint8).astype(np.int32)
+        data[-1] += 256
+        out[i] = merge_long(vocab, vocab.letters[data].tolist())
     return out
 
 
@@ -174,6 +175,14 @@ def unassigned_letters() -> str:
     return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in np.split(taken, cuts) if len(r))
 
 
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Splitter:
     """Cuts a text into pre-tokens the way the vocabulary's file says; special strings stand alone.
 
@@ -183,6 +192,13 @@ class Splitter:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.find = regex.compile(vocab.words)
+        # Most texts have codes below 256 only; for them the standard library's pattern with the classes written out is faster.
+        latin = "".join(map(chr, range(256)))
+        classes = {c: "".join(map(re.escape, regex.findall(c, latin))) for c in (r"\s", r"\p{L}", r"\p{N}")}
+        narrow = vocab.words
+        for name, codes in classes.items():
+            narrow = narrow.replace(name, codes)
+        self.find_latin = re.compile(narrow)
         odd = unassigned_letters()
         self.odd = re.compile(f"[{odd}]")
         # With such letters in the text, each class loses them; they then count as other signs.
@@ -213,44 +229,62 @@ class Splitter:
             if special:
                 yield [piece]
                 continue
-            find = self.find if piece.isascii() or not self.odd.search(piece) else self.find_odd
+            text = self.clean(piece)
+            if is_latin(text):
+                find = self.find_latin
+            else:
+                find = self.find_odd if self.odd.search(text) else self.find
             if len(piece) <= BLOCK_CHARS:
-                yield find.findall(self.clean(piece))
+                yield find.findall(text)
             else:
-                yield from blocks((m.group() for m in find.finditer(self.clean(piece))), BLOCK_WORDS)
+                yield from blocks((m.group() for m in find.finditer(text)), BLOCK_WORDS)
 
 
 class Encoder:
-    """Per worker: words met so far with ``keep(ids)`` of their tokens."""
-
-    def __init__(self, vocab: Vocabulary, keep):
-        self.vocab, self.keep, self.splitter = vocab, keep, Splitter(vocab)
-        self.known = {}
-        self.reset()
-
-    def reset(self):
-        self.known = {text: self.keep([i]) for text, i in self.vocab.special.items()}
-
-    def learn(self, words) -> dict:
-        """The table of known words, with these in it."""
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.reset()
-            new = set(words).difference(self.known)
-        new = list(new)
-        self.known.update(zip(new, map(self.keep, encode_words(self.vocab, new))))
+    """Per worker: what ``keeps`` make of the ids of the words met lately, one table for each."""
+
+    def __init__(self, vocab: Vocabulary, *keeps, fixed=()):
+        self.vocab, self.keeps, self.splitter = vocab, keeps, Splitter(vocab)
+        self.fixed = [{text: keep([i]) for text, i in vocab.special.items()} for keep in keeps]
+        for table, more in zip(self.fixed, fixed):
+            table.update(more)
+        self.known, self.old = [dict(t) for t in self.fixed], [{} for _ in keeps]
+
+    def learn(self, words: set) -> list:
+        """The tables, with these words in them."""
+        new = words.difference(self.known[0])
+        if len(self.known[0]) + len(new) > KNOWN + len(self.fixed[0]):
+            self.old, self.known = self.known, [dict(t) for t in self.fixed]
+            new = words.difference(self.known[0])
+        again = new.intersection(self.old[0])
+        new = list(new - again)
+        ids = encode_words(self.vocab, new)
+        for table, old, keep in zip(self.known, self.old, self.keeps):
+            table.update((w, old[w]) for w in again)
+            table.update(zip(new, map(keep, ids)))
         return self.known
 
     def texts(self, texts: list):
-        """For each text an iterator over lists of kept values, one list per block of words."""
+        """For each text an iterator over blocks of its words, a block being one list of kept values per table."""
         for part in chunks(texts, map(len, texts), BLOCK_CHARS):
             if len(part) == 1 and len(part[0]) > BLOCK_CHARS:
-                yield (list(map(self.learn(w).__getitem__, w)) for w in self.splitter.words(part[0]))
+                yield ([[*map(t.__getitem__, ws)] for t in self.learn(set(ws))] for ws in self.splitter.words(part[0]))
                 continue
             split = [[*self.splitter.words(t)] for t in part]
-            get = self.learn([w for lists in split for ws in lists for w in ws]).__getitem__
+            get = [t.__getitem__ for t in self.learn(set().union(*(ws for lists in split for ws in lists)))]
             for lists in split:
-                yield [list(map(get, ws)) for ws in lists]
+                yield [[[*map(g, ws)] for g in get] for ws in lists if ws]
+
+
+ENCODERS = {}
+
+
+def worker_encoder(key, make) -> Encoder:
+    """One encoder for all tasks that a Python worker runs for the same operator call."""
+    if key not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[key] = make()
+    return ENCODERS[key]
 
 
 def encode(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +298,7 @@ def encode(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             at = 0
             for part in chunks(texts := texts_of(batch), map(len, texts), 4 * BLOCK_CHARS):
-                ids = [[i for ws in lists for w in ws for i in w] for lists in encoder.texts(part)]
+                ids = [[i for (ws,) in lists for w in ws for i in w] for lists in encoder.texts(part)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
                 at += len(part)
 
@@ -285,30 +319,31 @@ def decode(df: DataFrame, vocab, id_col: str = "doc_id", ids_col: str = "ids") -
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
+def digest_encoder(vocab: Vocabulary) -> Encoder:
+    names, tokens = [str(i) for i in range(len(vocab.tokens))], vocab.tokens
+    return Encoder(vocab, lambda ids: " ".join([names[i] for i in ids]), lambda ids: " ".join([tokens[i] for i in ids]))
+
+
 def digests(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode the ids, and return counts and digests instead of both: no ids leave the worker.
 
     Columns: id_col, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256. A word's ids and their
     decoding are joined with those of its neighbours, so each distinct word is encoded and decoded once per block.
     """
+    call = uuid.uuid4().hex
 
     def run(batches):
-        v = vocab.value
-        names = [str(i) for i in range(len(v.tokens))]
-        encoder = Encoder(v, lambda ids: (len(ids), " ".join([names[i] for i in ids]), " ".join([v.tokens[i] for i in ids])))
+        encoder = worker_encoder(call, lambda: digest_encoder(vocab.value))
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
-            for lists in encoder.texts(texts_of(batch)):
-                n, first, a, b = 0, True, hashlib.sha256(), hashlib.sha256()
-                for kept in lists:
-                    if not kept:
-                        continue
-                    sizes, ids, text = zip(*kept)
-                    n += sum(sizes)
-                    gap = "" if first else " "
-                    first = False
-                    a.update((gap + " ".join(ids)).encode())
+            for blocks_of in encoder.texts(texts_of(batch)):
+                n, gap, a, b = 0, "", hashlib.sha256(), hashlib.sha256()
+                for ids, text in blocks_of:
+                    ids = gap + " ".join(ids)
+                    n += ids.count(" ") + (not gap)
+                    a.update(ids.encode())
                     b.update((gap + " ".join(text)).encode())
+                    gap = " "
                 counts.append(n)
                 ids_hash.append(a.hexdigest())
                 text_hash.append(b.hexdigest())

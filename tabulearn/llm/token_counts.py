@@ -4,6 +4,8 @@ Offline, every vocabulary string that can be a whole pre-token is merged once; t
 shortcut set. A pre-token in that set counts one without further work, and only the others are merged.
 """
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from tabulearn.llm import bpe
 def single_tokens(vocab: bpe.Vocabulary) -> frozenset:
     """Pre-token strings proven to be encoded as exactly one token: merged here, not assumed from the vocabulary."""
     byte_of = {c: b for b, c in enumerate(bpe.byte_letters())}
-    ends = vocab.tokens[vocab.last[0]][len(vocab.tokens[vocab.first[0]]):]
+    ends = vocab.tokens[vocab.letters[256]][len(vocab.tokens[vocab.letters[0]]):]
     splitter = bpe.Splitter(vocab)
     words = []
     for token in vocab.tokens:
@@ -35,20 +37,16 @@ def count_tokens(df: DataFrame, vocab, single, limit: int, id_col: str = "doc_id
     ``vocab`` and ``single`` are broadcasts of a Vocabulary and of its ``single_tokens``.
     """
 
-    def run(batches):
-        # The table holds the tokens beyond the first: 0 for the proven words, which are never merged.
-        encoder = bpe.Encoder(vocab.value, lambda ids: len(ids) - 1)
-        proven = dict.fromkeys(single.value, 0)
-        forget = encoder.reset
+    call = uuid.uuid4().hex
 
-        def reset():
-            forget()
-            encoder.known.update(proven)
+    def make():
+        # The table holds the tokens beyond the first: 0 for the proven words, which are never merged.
+        return bpe.Encoder(vocab.value, lambda ids: len(ids) - 1, fixed=[dict.fromkeys(single.value, 0)])
 
-        encoder.reset = reset
-        reset()
+    def run(batches):
+        encoder = bpe.worker_encoder(call, make)
         for batch in batches:
-            counts = [sum(len(kept) + sum(kept) for kept in lists) for lists in encoder.texts(bpe.texts_of(batch))]
+            counts = [sum(len(kept) + sum(kept) for (kept,) in lists) for lists in encoder.texts(bpe.texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
