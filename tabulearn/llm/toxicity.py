@@ -4,7 +4,8 @@ The lexicon is learned from labelled rows: words, and word beginnings that many
 more frequent in toxic documents. A word of a text is looked up by running its Levenshtein automaton (the sets of its
 places reachable with 0, 1 or 2 edits, as bits) along the lexicon's trie. Each hit gets a weight from a window around
 it, where quotation marks and words of reporting speak for a quotation. A logistic model turns a document's sums into
-a score. The fit reads at most ``TOXIC_DOCS`` and ``CLEAN_DOCS`` labelled documents; scoring reads whole texts.
+a score. The fit reads at most ``TOXIC_DOCS`` and ``CLEAN_DOCS`` labelled documents and takes the ``TERMS`` features
+that are in most distinct toxic texts of these, if in ``LEAST_DOCS`` at least; scoring reads whole texts.
 """
 
 import re
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from tabulearn.llm.frames import chunks, thinned
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
-TERMS = 500
-LEAST_DOCS, LEAST_PART, LEAST_SHARE = 5, 0.02, 0.8
+TERMS = 2000
+LEAST_DOCS, LEAST_SHARE = 5, 0.8
 STEMS = range(4, 9)
 WINDOW = 60
 KNOWN = 300_000
@@ -229,11 +230,10 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     if not both:
         return Lexicon()
     grow_toxic, grow_clean = max(1.0, totals[1] / toxic_docs), max(1.0, totals[0] / clean_docs)
-    sums = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # Copies of a text count once, or the words of a few copies of one document would be terms.
+    sums = sample.dropDuplicates(["label", "text"]).mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") * grow_toxic / (F.col("toxic") * grow_toxic + F.col("clean") * grow_clean + 1)
-    # Words of a few copies of one document are no terms: a term is in a fiftieth of the toxic sample.
-    least = max(LEAST_DOCS, LEAST_PART * min(totals[1], toxic_docs))
-    kept = sums.where((F.col("toxic") >= least) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "feature").limit(TERMS)
+    kept = sums.where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "feature").limit(TERMS)
     lexicon = Lexicon(*choose([(r["feature"], r["toxic"]) for r in kept.collect()]))
 
     send = spark.sparkContext.broadcast(lexicon)

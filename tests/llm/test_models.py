@@ -126,6 +126,19 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score(df, spark.sparkContext.broadcast(none)).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_of_rare_terms_and_copies(spark, docs):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstvz") for _ in range(7))
+    plain, rare = [word() for _ in range(40)], [word() for _ in range(60)]
+    texts = [" ".join(rng.choices(plain, k=20)) + (f" {rare[i % 60]}" if i < 600 else "") for i in range(1200)]
+    df = docs(texts + [texts[0] + " copied"] * 30)
+    labels = spark.createDataFrame([(i, int(i < 600 or i >= 1200)) for i in range(1230)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(df, labels, F.lit(True))
+    assert all(lexicon.kind(w) == 1 for w in rare) and lexicon.kind("copied") == 0
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, spark.sparkContext.broadcast(lexicon)).collect()}
+    assert all(got[i] == (i < 600) for i in range(1200))
+
+
 def brute_nearest(ids, x, asked, k):
     out = {}
     for q in asked:
