@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: five-word shingles, similarity about 0.8."""
-    return simhash.one_per_group(docs, words=5, distance=9, n_segments=4)
+    """Keep one document of each group of near copies: fingerprints of five-word shingles that differ in at most nine bits."""
+    return simhash.one_per_group(docs, words=5, distance=9)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,11 +142,11 @@ def near_duplicates(df: DataFrame, words: int = 5, distance: int = 4, id_col: st
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(df: DataFrame, words: int = 5, distance: int = 9, n_segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_group(df: DataFrame, words: int = 5, distance: int = 9, n_segments: int = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns: of each component the one with the smallest id; rows without id all stay.
 
-    Nine of 64 bits is where the angle between two sets of shingles with similarity 0.8 lies. Four segments find all
-    links up to seven bits, and 19 of 20 at eight and 7 of 8 at nine; five would make buckets of 4,096th parts.
+    Nine of 64 bits is about where the angle between two sets of shingles with similarity 0.8 lies. By default all links
+    within the distance are found. Shingles are not compared: similarity is only estimated by the bits.
     """
     found = near_duplicates(df, words, distance, id_col, text_col, n_segments)
     stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("stays")).distinct()
