@@ -142,14 +142,21 @@ def near_duplicates(df: DataFrame, words: int = 5, distance: int = 4, id_col: st
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(df: DataFrame, words: int = 5, distance: int = 9, n_segments: int = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns: of each component the one with the smallest id; rows without id all stay.
+def one_per_group(df: DataFrame, words: int = 5, distance: int = 9, n_segments: int = None, id_col: str = "doc_id", text_col: str = "text",
+                  without_id_stay: bool = True) -> DataFrame:
+    """The rows that stay, with their columns: of each component the first by id (null last), then by a hash of all columns.
 
-    Nine of 64 bits is about where the angle between two sets of shingles with similarity 0.8 lies. By default all links
-    within the distance are found. Shingles are not compared: similarity is only estimated by the bits.
+    Rows that agree in all columns are one. With ``without_id_stay``, rows with null ids all stay besides; else they are
+    rows like any other. Nine of 64 bits is about where the angle between two sets of shingles with similarity 0.8 lies.
+    By default all links within the distance are found. Shingles are not compared: similarity is only estimated by the bits.
     """
-    found = near_duplicates(df, words, distance, id_col, text_col, n_segments)
-    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("stays")).distinct()
-    named = df.select(F.col(id_col).alias("id"), F.struct(*df.columns).alias("row"))
-    kept = named.join(stays, F.col("id") == F.col("stays"), "left_semi").dropDuplicates(["id"])
-    return kept.unionByName(named.where("id is null")).select("row.*")
+    # A hash of columns passes over nulls, so it takes their places as well.
+    mark = F.xxhash64(*df.columns, F.concat(*[F.col(c).isNull().cast("string") for c in df.columns]))
+    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), mark.alias("mark"))
+    named = df.select(key.alias("key"), F.col(text_col).alias("text"), F.struct(*df.columns).alias("row"))
+    found = near_duplicates(named, words, distance, "key", "text", n_segments)
+    stays = found.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("stays")).distinct()
+    kept = named.join(stays, F.col("key") == F.col("stays"), "left_semi").select("key", "row").dropDuplicates(["key"])
+    if without_id_stay:
+        kept = kept.where("not key.without").unionByName(named.where("key.without").select("key", "row"))
+    return kept.select("row.*")

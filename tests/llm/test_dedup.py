@@ -105,6 +105,13 @@ def test_pipeline_finds_all_links_of_nine_bits(spark, monkeypatch):
     assert asked["d"] == 9 and simhash.links(fps, asked["d"], asked["n"]).count() == 1
 
 
+def test_one_per_group_of_repeated_and_null_ids(spark, docs):
+    a, b, c = near_texts()[5:8]
+    df = docs([a, b, a + " x", c, c, c + " y"], ids=[1, 1, 2, None, None, None])
+    kept = [(r.doc_id, r.text[:40]) for r in simhash.one_per_group(df, 4, 9, without_id_stay=False).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a[:40]), (1, b[:40]), (None, c[:40])], key=str)
+
+
 def without_repeats(texts, span):
     raw = [(t or "").encode() for t in texts]
     counts = Counter(b[i : i + span] for b in raw for i in range(len(b) - span + 1))
