@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulearn.llm.frames import utf8_buffer
+from tabulearn.session import checkpointed
 
 REACH = 160
 GRAM = 8
@@ -164,11 +165,11 @@ def whole_groups(batches, least: int):
 
 
 def keep_first_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text, row): rows are told apart by id and a 32-bit mark of the text, as ids may repeat or be null."""
+    """(id, mark, text, row): rows are told apart by id and a 64-bit mark of the text, as ids may repeat or be null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # The row carries its text once: as the column beside it.
     row = F.struct(*[F.when(F.col(c).isNotNull(), F.lit("")).alias(c) if c == text_col else F.col(c) for c in df.columns])
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"), row.alias("row"))
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"), row.alias("row"))
 
 
 def by_document(doc, key, place):
@@ -273,7 +274,18 @@ def with_spans(df: DataFrame, span: int, id_col: str, text_col: str) -> DataFram
     if not REACH + GRAM <= span <= 2**15:
         raise ValueError(f"span must be at least {REACH + GRAM}")
     docs = keep_first_columns(df, id_col, text_col)
-    spans = repeated_spans(docs, span).groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # Rows with equal id and text are parsed once, and all that is long enough in them repeats.
+    repeats = checkpointed(docs.groupBy("id", "mark").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1"))
+    if repeats.isEmpty():
+        spans = repeated_spans(docs, span)
+    else:
+        again = repeats.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"))
+        known = lambda d: d["id"].eqNullSafe(again["of"]) & (d["mark"] == again["of_mark"])
+        single = docs.join(again, known(docs), "left_anti").unionByName(docs.join(again, known(docs), "left_semi").dropDuplicates(["id", "mark"]))
+        spans = repeated_spans(single, span)
+        whole = repeats.where(F.col("size") >= span).select("id", "mark", F.lit(0).cast("long").alias("s"), F.col("size").cast("long").alias("e"))
+        spans = spans.join(again, known(spans), "left_anti").unionByName(whole)
+    spans = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "spans")
     return docs.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("id", "row", "text", "spans")
 

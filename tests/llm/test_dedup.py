@@ -198,6 +198,16 @@ def test_suffix_dedup_of_repeated_ids_and_nothing(spark, docs):
     assert suffix_dedup.remove_repeats(df.where("false")).collect() == []
 
 
+def test_suffix_dedup_of_many_equal_rows(spark, docs):
+    random.seed(6)
+    text = "".join(random.choice("abcdefgh") for _ in range(3000))
+    texts = [text] * 40 + [text[1000:1400] + "z" * 100, "short", "short"]
+    df = docs(texts, ids=[None] * 20 + [5] * 20 + [1, None, None])
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == sorted(w[:4] for w in without_repeats(texts, 200))
+    assert suffix_dedup.with_spans(df, 200, "doc_id", "text").agg(F.max(F.size("spans"))).first()[0] < 100
+
+
 def test_lattice_points():
     rng = np.random.default_rng(0)
     short = lattice_dedup.shortest_vectors()
