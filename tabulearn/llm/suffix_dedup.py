@@ -9,7 +9,7 @@ behind their trigger, so only triggers whose next bytes occur twice go on.
 Order: for these, the phrases are sorted backwards (suffixes of the dictionary) and what follows is sorted forwards
 (suffixes of the parse), each with the common prefix lengths of neighbours. Both orders combine into classes of equal
 strings of ``span`` bytes for all starting places at once: a start repeats if another one has its phrase suffix and its
-continuation. Nothing is compared by hash alone except in groups over ``HOT`` triggers, where a 128-bit digest of each
+continuation. Nothing is compared by hash alone except in groups over ``HOT`` places, where a 128-bit digest of each
 string is counted instead so that a very common passage is spread over all tasks.
 """
 
@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulearn.llm.frames import utf8_buffer
@@ -28,6 +28,7 @@ GRAM = 8
 TILE = 1 << 19
 ORDER_ROWS = 16_000
 HOT = 50_000
+SALTS = 64
 
 
 def mixing_constants(n: int, seed: int = 11):
@@ -202,23 +203,38 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(key), places], ["id", "mark", "key", "places"])
 
-    found = docs.mapInArrow(parse, f"id {kind}, mark long, key long, places array<long>")
-    same = Window.partitionBy("key")
-    found = found.withColumn("rows", F.count("*").over(same)).where((F.col("rows") > 1) | (F.size("places") > 1))
+    def places_of_keys(batches):
+        constants = mixing_constants(TILE + span + GRAM)
+        for batch in batches:
+            for _, _, _, _, key in triggers(*utf8_buffer(batch.column("text")), span, constants):
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in np.unique(key, return_counts=True)], ["key", "n"])
+
+    # The places of a key are added up before they are dealt out; only then do triggers meet, those of hot keys by a salt.
+    counts = checkpointed(docs.select("text").mapInArrow(places_of_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("places_of_key")).where("places_of_key > 1"))
+    is_hot = F.col("places_of_key") > HOT
+    counts = counts.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    # At most one key for each HOT places of the corpus, so its copy to every task is small.
+    hot = counts.where(is_hot & (F.col("salt") == 0)).select(F.col("key").alias("hot_key"))
+    found = docs.mapInArrow(parse, f"id {kind}, mark long, key long, places array<long>").join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
+    salt = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    found = found.select("id", "mark", "key", "places", salt.alias("salt")).join(counts, ["key", "salt"])
 
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 found = batch.column("found").slice(i, 1).flatten()
                 text, lists, key = batch.column("text")[i].as_py().encode(), found.field("places"), found.field("key").to_numpy()
-                rows = []
+                rows, last = [], len(key) - 1
                 for k in range(len(key)):
                     for (low, high, context), at in contexts_of(text, lists[k].values.to_numpy(), span).items():
                         rows.append((int(key[k]), low, high, at, context))
-                same = pa.array(np.zeros(len(rows), np.int32))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).take(same), batch.column("mark").slice(i, 1).take(same), *columns],
-                                                 ["id", "mark", "key", "low", "high", "at", "context"])
+                    if k < last and len(rows) < ORDER_ROWS:
+                        continue
+                    same = pa.array(np.zeros(len(rows), np.int32))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).take(same), batch.column("mark").slice(i, 1).take(same), *columns],
+                                                     ["id", "mark", "key", "low", "high", "at", "context"])
+                    rows = []
 
     def contexts(which):
         listed = found.where(which).groupBy("id", "mark").agg(F.collect_list(F.struct("key", "places")).alias("found"))
@@ -242,7 +258,7 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
             out = out.append_column("s", pa.array(where - far[who])).append_column("e", pa.array(where - near[who] + span))
             yield from out.to_batches()
 
-    spans = contexts(F.col("rows") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark long, s long, e long")
+    spans = contexts(F.col("places_of_key") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark long, s long, e long")
 
     def every_start(batches):
         for batch in batches:
@@ -253,7 +269,7 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).take(same), batch.column("mark").slice(i, 1).take(same),
                                                   pa.array([s for s, _ in starts], pa.int64()), pa.array([d for _, d in starts], pa.binary())], ["id", "mark", "s", "digest"])
 
-    starts = contexts(F.col("rows") > HOT).mapInArrow(every_start, f"id {kind}, mark long, s long, digest binary")
+    starts = contexts(F.col("places_of_key") > HOT).mapInArrow(every_start, f"id {kind}, mark long, s long, digest binary")
     twice = starts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     hot_spans = starts.join(twice, "digest").select("id", "mark", "s", (F.col("s") + span).alias("e"))
     return spans.unionByName(hot_spans)

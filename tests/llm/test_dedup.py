@@ -208,6 +208,23 @@ def test_suffix_dedup_of_many_equal_rows(spark, docs):
     assert suffix_dedup.with_spans(df, 200, "doc_id", "text").agg(F.max(F.size("spans"))).first()[0] < 100
 
 
+def test_hot_keys_are_counted_by_places(spark, docs, monkeypatch):
+    random.seed(7)
+    draw = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    line = draw(190)
+    texts = ["".join(draw(100) + line for _ in range(20)) for _ in range(4)] + [draw(300) * 2]
+    real, most = suffix_dedup.repeated_starts, 10
+
+    def bounded(group, *rest):
+        assert np.unique(group, return_counts=True)[1].max() <= most
+        return real(group, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "HOT", most)
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", bounded)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(texts)).collect()}
+    assert got == {i: w[:4] for i, w in enumerate(without_repeats(texts, 200))}
+
+
 def test_lattice_points():
     rng = np.random.default_rng(0)
     short = lattice_dedup.shortest_vectors()
