@@ -1,4 +1,6 @@
-"""Removal of repeated passages by suffix order over a prefix-free parse (operator 9).
+"""Removal of repeated passages by triggers and the order of what surrounds them (operator 9).
+
+This stands in for a prefix-free parse with suffix arrays: phrases are not kept once, but with each occurrence.
 
 Parse: a rolling hash over eight bytes triggers at its minimum in every run of ``REACH`` places, so each string of
 ``span`` bytes holds a trigger that depends on that string alone, and the triggers cut a document into phrases. A
