@@ -59,3 +59,14 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return flat[ends[0] : ends[-1]], ends - ends[0]
+
+
+HELD = {}
+
+
+def held(call: str, make):
+    """What ``make`` gives, once per Python worker for all its tasks of one call. Of all operators only the latest call's is kept."""
+    if call not in HELD:
+        HELD.clear()
+        HELD[call] = make()
+    return HELD[call]

@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulearn.llm import bpe, language_id, lattice_dedup, mixing, simhash, suffix_dedup, token_counts, toxicity, url_filter, vantage_search
+from tabulearn.llm import (
+    bpe, collocations, language_id, lattice_dedup, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, vantage_search,
+    zone_clustering)
 from tabulearn.llm.frames import crc_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 MIX_SEED = 7
+CENTROIDS, CLUSTER_ROUNDS, CLUSTER_SEED = 40, 5, 2
 RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -76,6 +79,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, most_words=4, inside=80, top=2000)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 5) != 0)
+    scored = quality.score(docs, spark.sparkContext.broadcast(model), threshold=0.3)
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_zone_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zone_clustering.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=CLUSTER_ROUNDS, seed=CLUSTER_SEED)
+    return found.drop("compared")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -87,6 +107,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
+    "op13_zone_clustering": op13_zone_clustering,
 }
 
 MIXING_SQL = f"""
@@ -130,4 +153,59 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE place = 1
 """
 
-SQL = {"op2_mixing": MIXING_SQL, "op10_url_filter": URL_SQL}
+COLLOCATION_SQL = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS spot FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k),
+phrases AS MATERIALIZED (
+  SELECT lang, k, array_to_string(words[spot:spot + k - 1], ' ') AS phrase, count(*) AS f, any_value(words[spot:spot + k - 1]) AS words
+  FROM places GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f, c.words, p.f AS l, r.f AS r, p.k AS cut, CAST((2000000::HUGEINT * c.f) // (p.f + r.f) AS BIGINT) AS score
+  FROM phrases c JOIN phrases p ON p.lang = c.lang AND p.k < c.k AND p.phrase = array_to_string(c.words[1:p.k], ' ')
+  JOIN phrases r ON r.lang = c.lang AND r.k = c.k - p.k AND r.phrase = array_to_string(c.words[p.k + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ones AS (
+  SELECT DISTINCT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, m, f
+  FROM (SELECT lang, words, k, f, m, unnest(range(1, k - m + 2)) AS i FROM phrases, (SELECT unnest([2, 3]) AS m) WHERE k > m)),
+kept AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = s.lang AND i.phrase = s.phrase AND i.m = s.k AND 100 * i.f >= 80 * s.f))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) <= 2000
+"""
+
+
+def clustering_sql() -> str:
+    """The rounds unrolled; vectors, centroids and sums in long form."""
+    far = """
+{name} AS MATERIALIZED (
+  SELECT vec_id, c AS cluster, d AS distance FROM (
+    SELECT vec_id, c, sum((x.v - y.v) * (x.v - y.v)) AS d FROM parts x JOIN {centroids} y USING (axis) GROUP BY vec_id, c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    steps = [f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+parts AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS axis, unnest(v) AS v FROM vectors),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(64)) AS axis, unnest(v) AS v FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id)) - 1 AS c FROM vectors) WHERE c < {CENTROIDS})"""]
+    for k in range(CLUSTER_ROUNDS):
+        steps.append(far.format(name=f"a{k}", centroids=f"c{k}"))
+        steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT o.c, o.axis, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, o.v) AS v FROM c{k} o LEFT JOIN (
+    SELECT cluster AS c, axis, sum(v) AS s, count(*) AS n FROM a{k} JOIN parts USING (vec_id) GROUP BY ALL) m ON m.c = o.c AND m.axis = o.axis)""")
+    last = f"c{CLUSTER_ROUNDS}"
+    steps.append(far.format(name="final", centroids=last))
+    return ",".join(steps) + f""",
+named AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY axis)) AS centroid_sha256 FROM {last} GROUP BY c)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM final JOIN named ON c = cluster"""
+
+
+SQL = {"op2_mixing": MIXING_SQL, "op10_url_filter": URL_SQL, "op11_collocations": COLLOCATION_SQL, "op13_zone_clustering": clustering_sql()}
