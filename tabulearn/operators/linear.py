@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from tabulearn.functions.batches import matrix, summed, vector
 from tabulearn.functions.columns import (
     argmax_label, distinct_labels, dot, feature_array, label_code, literal_array, plus_minus, sigmoid)
+from tabulearn.functions.tables import worth_collapsing
 from tabulearn.session import kept
 
+# Largest block of rows, in numbers (64 MB), that is replayed at once.
+MAX_REPLAYED = 8_000_000
+
 
 def _prepared(df, features, label, id_col=None):
     """Rows as (x with a trailing 1, class code)."""
@@ -119,6 +123,7 @@ class Perceptron:
     b: float
     converged: bool
     updates: list  # (epoch, mistakes) or (id, alpha)
+    jobs: int = 0
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(
@@ -157,25 +162,69 @@ def perceptron_fit(df: DataFrame, features, label: str, eta: float = 1.0, max_ep
     return Perceptron(features, classes, w, b, done, log)
 
 
+def replay(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, eta: float, radius: float, most: int):
+    """Updates by the first row on the wrong side, until none is, ``most`` are made, or the weights moved by ``radius``.
+
+    Returns (rows updated in order, whether all rows are right, how far the weights moved). Scores are kept up by the
+    columns of the Gram matrix that updates need.
+    """
+    score, gram, order = x @ w + b, {}, []
+    moved, far = np.zeros(len(w) + 1), 0.0
+    while True:
+        wrong = y * score <= 0.0
+        i = int(wrong.argmax()) if len(wrong) else 0
+        if not len(wrong) or not wrong[i]:
+            return order, True, far
+        if len(order) == most or far and far >= radius:
+            return order, False, far
+        if i not in gram:
+            gram[i] = x @ x[i] + 1.0
+        score += eta * y[i] * gram[i]
+        moved += eta * y[i] * np.append(x[i], 1.0)
+        far = float(np.linalg.norm(moved))
+        order.append(i)
+
+
 def perceptron_dual_fit(df: DataFrame, features, label: str, id_col: str, eta: float = 1.0,
-                        max_updates: int = 1000) -> Perceptron:
-    """Each update takes the first row in id order on the wrong side.
+                        max_updates: int = 1000, block: int = 4096) -> Perceptron:
+    """Each update takes the first row in id order on the wrong side; ``updates`` holds (id, alpha).
 
-    The rule is sequential, so each update is one job that returns one row;
-    ``updates`` holds (id, alpha).
+    A job brings the first ``block`` rows that are wrong or that a move of the weights by ``radius`` could make wrong;
+    all others stay right until then, so many updates are replayed exactly among these. The radius is endless at first,
+    which takes the first rows as they are. ``jobs`` counts the passes. Rows of equal id go by features and label.
     """
     classes = distinct_labels(df, label)
-    rows = kept(df.select(F.col(id_col).alias("id"), feature_array(features).alias("x"),
-                          plus_minus(label, classes).alias("y")))
+    rows = df.select(F.col(id_col).alias("id"), feature_array(features).alias("x"), plus_minus(label, classes).alias("y"))
+    n = rows.agg(F.count("*").alias("all"), F.approx_count_distinct(F.struct("x", "y")).alias("some")).first()
+    if worth_collapsing(n["all"], n["some"]):
+        rows = rows.groupBy("x", "y").agg(F.min("id").alias("id"))  # of equal rows only the first is ever taken
+    rows = kept(rows.select("id", "x", "y"))
     d = rows.select(F.size("x")).first()[0]
-    w, b, alpha, done = np.zeros(d), 0.0, {}, False
-    for _ in range(max_updates):
-        score = dot(F.col("x"), literal_array(w)) + F.lit(float(b))
-        first = rows.filter(F.col("y") * score <= 0).agg(F.min_by(F.struct("id", "x", "y"), "id").alias("r")).first()["r"]
-        if first is None:
+    block = max(1, min(block, MAX_REPLAYED // (d + 2)))
+    w, b, alpha, done, made, jobs, radius = np.zeros(d), 0.0, {}, False, 0, 0, np.inf
+    while not done and made < max_updates:
+        near = rows
+        if radius < np.inf:
+            score = dot(F.col("x"), literal_array(w)) + F.lit(float(b))
+            near = rows.filter(F.col("y") * score <= F.lit(radius) * F.sqrt(dot(F.col("x"), F.col("x")) + 1.0))
+        found = near.orderBy("id", "x", "y").limit(block + 1).collect()
+        jobs += 1
+        cut, found = len(found) > block, found[:block]
+        x, y = np.array([r["x"] for r in found], dtype=float).reshape(len(found), d), np.array([r["y"] for r in found])
+        # A hair less than the radius, for what rounding does to the margins.
+        order, right, far = replay(x, y, w, b, eta, radius * (1 - 1e-9), max_updates - made)
+        for i in order:
+            alpha[found[i]["id"]] = alpha.get(found[i]["id"], 0.0) + eta
+            w, b = w + eta * y[i] * x[i], b + eta * y[i]
+        made += len(order)
+        if right and not cut and (far == 0.0 or far < radius * (1 - 1e-9)):
             done = True
-            break
-        alpha[first["id"]] = alpha.get(first["id"], 0.0) + eta
-        w, b = w + eta * first["y"] * np.array(first["x"]), b + eta * first["y"]
+        elif right and not order and radius < np.inf:
+            radius = 0.0  # only wrong rows: the first of these is the first of all
+        elif right:
+            step = eta * float(np.sqrt((x * x).sum(axis=1) + 1.0).max())
+            radius = 8.0 * step if radius == np.inf else radius / 2.0
+        else:
+            radius = 2.0 * max(radius, far)
     rows.unpersist()
-    return Perceptron(features, classes, w, b, done, sorted(alpha.items()))
+    return Perceptron(features, classes, w, b, done, sorted(alpha.items()), jobs)

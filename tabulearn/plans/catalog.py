@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import distinct_labels
 from tabulearn.operators import (
-    boosting, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, prep, sequence, splits, trees)
+    boosting, dual_svm, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, prep, quasi_newton, sequence, splits, trees)
 from tabulearn.plans import settings as S
 from tabulearn.session import checkpointed
 from tabulearn.sources import text as lines
@@ -531,6 +531,29 @@ def perceptron_dual(spark, d):
     return spark.createDataFrame(p.updates, "vec_id long, alpha double")
 
 
+def order_extremes(spark, d):
+    """Per order the largest quantity, discount and tax as centred whole numbers, and on which side of a plane they lie."""
+    rows = lineitem(spark, d).groupBy("l_orderkey").agg(
+        (F.max("l_quantity") - 25).alias("x1"), (F.round(F.max("l_discount") * 100) - 5).alias("x2"), (F.round(F.max("l_tax") * 100) - 4).alias("x3"))
+    side = sum((F.lit(a) * F.col(c) for a, c in zip(S.PLANE[:3], ["x1", "x2", "x3"])), F.lit(S.PLANE[3]))
+    return rows.withColumn("side", F.when(side > 0, 1).otherwise(0))
+
+
+@query
+def perceptron_dual_converged(spark, d):
+    """All updates until no row is wrong: how often each order was taken."""
+    p = linear.perceptron_dual_fit(order_extremes(spark, d), ["x1", "x2", "x3"], "side", "l_orderkey", max_updates=1_000_000)
+    return spark.createDataFrame(p.updates, "l_orderkey long, alpha double").withColumn("converged", F.lit(p.converged))
+
+
+@query
+def perceptron_dual_replayed(spark, d):
+    """The same with blocks far smaller than the table, and whether the passes are far fewer than the updates."""
+    p = linear.perceptron_dual_fit(order_extremes(spark, d), ["x1", "x2", "x3"], "side", "l_orderkey", max_updates=1_000_000, block=512)
+    few = F.lit(p.jobs * 10 < sum(a for _, a in p.updates))
+    return spark.createDataFrame(p.updates, "l_orderkey long, alpha double").withColumn("few_passes", few)
+
+
 # ---- maximum entropy ----
 
 @query
@@ -570,6 +593,31 @@ def maxent_lbfgs(spark, d):
     return spark.createDataFrame(rows, "label int, feature int, weight double")
 
 
+@query
+def maxent_newton(spark, d):
+    """Weights after two quasi-Newton steps on the token table."""
+    docs, counts = word_table(spark, d)
+    return rounded(quasi_newton.token_newton_fit(docs, counts, "doc_id", "lang", max_iter=2, eps=0.0).table(), weight=6)
+
+
+@query
+def maxent_newton_salted(spark, d):
+    """The same with more tokens than are sent to every task."""
+    docs, counts = word_table(spark, d)
+    return rounded(quasi_newton.token_newton_fit(docs, counts, "doc_id", "lang", max_iter=2, eps=0.0, broadcast_rows=0).table(), weight=6)
+
+
+@query
+def maxent_newton_converged(spark, d):
+    """A fit to its end: whether the gradient is under eps, each step lowered the loss, and how many documents get their own label."""
+    docs, counts = word_table(spark, d)
+    fit = quasi_newton.token_newton_fit(docs, counts, "doc_id", "lang")
+    losses = [s[1] for s in fit.steps]
+    right = fit.predict(docs, counts, "doc_id").join(docs, "doc_id").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("lang")).cast("double")).alias("right"))
+    return right.select("n", F.lit(fit.converged).alias("converged"), F.lit(fit.steps[-1][2] < 1e-2).alias("small_gradient"),
+                        F.lit(all(a > b for a, b in zip(losses, losses[1:]))).alias("falling"), (F.col("right") > 0.95).alias("fits"))
+
+
 # ---- kernels ----
 
 def support_table(e):
@@ -635,6 +683,59 @@ def svm_rbf(spark, d):
         "vec_id", "prediction")
 
 
+def svm_dual(e, kind, **options):
+    fit = dual_svm.dual_linear_fit if kind == "linear" else dual_svm.dual_rbf_fit
+    return fit(e, "embedding", "upper", "vec_id", C=S.SVM_C, **options)
+
+
+def svm_dual_scored(e, fit, kind):
+    signed = e.withColumn("y", F.when(F.col("upper") == 1, 1.0).otherwise(-1.0)).withColumnRenamed("embedding", "x")
+    return kernels.decision_function(signed, fit.support, fit.b, "vec_id", "x", keep=["y"], kind=kind, sigma=S.SIGMA)
+
+
+def svm_dual_report(spark, d, kind):
+    """A fit to its duality gap, and whether primal and dual value follow again from its table of multipliers."""
+    e = embeddings(spark, d)
+    fit = svm_dual(e, kind)
+    hinge = F.sum(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("y") * F.col("score")))
+    scored = svm_dual_scored(e, fit, kind).join(fit.support.select(F.col("sv_id").alias("vec_id"), "alpha"), "vec_id", "left").agg(
+        F.count("*").alias("n"), hinge.alias("hinge"), F.sum("alpha").alias("alphas"), F.sum(F.col("alpha") * F.col("y") * F.col("score")).alias("square"))
+    feasible = (fit.support.agg(F.max("alpha")).first()[0] or 0.0) <= S.SVM_C
+    primal = F.col("square") / 2 + S.SVM_C * F.col("hinge")
+    gap = primal - (F.col("alphas") - F.col("square") / 2)
+    return scored.select(
+        "n", F.lit(fit.converged).alias("converged"), F.lit(feasible).alias("feasible"), (F.abs(primal / fit.primal - 1) < 1e-7).alias("same_value"), (gap <= 1.01e-3 * primal).alias("small_gap"))
+
+
+@query
+def svm_dual_linear(spark, d):
+    return svm_dual_report(spark, d, "linear")
+
+
+@query
+def svm_dual_rbf(spark, d):
+    return svm_dual_report(spark, d, "rbf")
+
+
+@query
+def svm_dual_kkt(spark, d):
+    """Rows that break optimality by 0.05 after a fit to a gap of a millionth, which allows half of that, and whether each class has rows on its side."""
+    e = embeddings(spark, d)
+    fit = svm_dual(e, "rbf", tol=1e-6)
+    scored = svm_dual_scored(e, fit, "rbf")
+    broken = kernels.kkt_violations(scored, fit.support, "vec_id", "y", C=S.SVM_C, tol=0.05).select("vec_id", F.lit(1).alias("broken"))
+    return scored.join(broken, "vec_id", "left").agg(F.count("*").alias("n"), F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"))
+
+
+@query
+def svm_dual_weights(spark, d):
+    """The linear fit's weights from its multipliers, as far as they differ from the ones it kept."""
+    e = embeddings(spark, d)
+    fit = svm_dual(e, "linear")
+    kept = F.get(F.array(*[F.lit(float(v)) for v in fit.w]), F.col("feature"))
+    return kernels.weights_from_support(fit.support, "x").select("feature", (F.round(F.abs(F.col("weight") - kept), 6) + F.lit(0.0)).alias("off"))
+
+
 # ---- mixtures ----
 
 def purchase_trials(spark, d):

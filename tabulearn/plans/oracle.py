@@ -548,6 +548,23 @@ def dual(updates):
 SQL["perceptron_dual"] = dual(S.UPDATES)
 
 
+DUAL_TO_THE_END = f"""
+WITH RECURSIVE per_order AS (
+  SELECT l_orderkey, max(l_quantity) - 25 AS x1, round(max(l_discount) * 100) - 5 AS x2, round(max(l_tax) * 100) - 4 AS x3 FROM lineitem GROUP BY l_orderkey),
+p AS MATERIALIZED (  -- of equal rows only the first is ever taken
+  SELECT min(l_orderkey) AS id, x1, x2, x3, if({S.PLANE[0]} * x1 + {S.PLANE[1]} * x2 + {S.PLANE[2]} * x3 + {S.PLANE[3]} > 0, 1.0, -1.0)::DOUBLE AS y
+  FROM per_order GROUP BY x1, x2, x3),
+steps AS (
+  SELECT 0 AS k, 0::BIGINT AS id, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT k + 1, r.id, w1 + r.y * r.x1, w2 + r.y * r.x2, w3 + r.y * r.x3, b + r.y
+  FROM (SELECT any_value(s) AS s, arg_min(p, p.id) AS r FROM steps s, p WHERE p.y * (p.x1 * s.w1 + p.x2 * s.w2 + p.x3 * s.w3 + s.b) <= 0 HAVING count(*) > 0) t(s, r),
+    LATERAL (SELECT s.k AS k, s.w1 AS w1, s.w2 AS w2, s.w3 AS w3, s.b AS b))
+SELECT id AS l_orderkey, count(*)::DOUBLE AS alpha, true AS {{}} FROM steps WHERE k > 0 GROUP BY id"""
+SQL["perceptron_dual_converged"] = DUAL_TO_THE_END.format("converged")
+SQL["perceptron_dual_replayed"] = DUAL_TO_THE_END.format("few_passes")
+
+
 def hinge(steps):
     parts = [LONG, "w0 AS (SELECT unnest(range(65)) AS f, 0.0::DOUBLE AS w)", "cnt AS (SELECT count(*)::DOUBLE AS n FROM ids)"]
     for k in range(steps):
@@ -599,6 +616,48 @@ SQL["maxent_proba"] = MAXENT + f" SELECT doc_id, label, {r0('exp(jll) / sum(exp(
 SQL["maxent_predict"] = MAXENT + _doc_best
 
 
+def newton(steps):
+    """Steepest descent first, then one pair of step and change of the gradient; sizes 2^4 to 2^-16, least loss among those that fall enough."""
+    def gradient(k):
+        return f"""
+p{k} AS MATERIALIZED (SELECT doc_id, label, exp(s - max(s) OVER o) / sum(exp(s - top)) OVER o AS p
+  FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM s{k}) WINDOW o AS (PARTITION BY doc_id)),
+g{k} AS MATERIALIZED (SELECT label, token, sum(n * (p - if(label = lang, 1, 0))) / any_value(n_docs) AS g
+  FROM words JOIN p{k} USING (doc_id), nd GROUP BY label, token)"""
+
+    parts = [MAXENT_BASE[0], """
+cls AS (SELECT DISTINCT lang AS label FROM documents),
+nd AS (SELECT count(*)::DOUBLE AS n_docs FROM documents),
+sizes AS (SELECT pow(2.0, unnest(range(-16, 5)))::DOUBLE AS h),
+s0 AS MATERIALIZED (SELECT doc_id, label, lang, 0.0::DOUBLE AS s FROM documents, cls)""", gradient(0), "w0 AS (SELECT label, token, 0.0::DOUBLE AS w FROM g0)"]
+    for k in range(steps):
+        if k == 0:
+            parts.append("d0 AS MATERIALIZED (SELECT label, token, -g AS d FROM g0)")
+        else:
+            parts.append(f"""
+q{k} AS MATERIALIZED (SELECT label, token, b.g, b.g - a.g AS y, h * d AS s FROM g{k} b JOIN g{k - 1} a USING (label, token) JOIN d{k - 1} USING (label, token), h{k - 1}),
+r{k} AS (SELECT sum(s * y) AS sy, sum(y * y) AS yy, sum(s * g) / sum(s * y) AS a FROM q{k}),
+t{k}b AS (SELECT any_value(a) AS a, any_value(sy / yy) AS scale, sum(y * (g - a * y)) * any_value(sy / yy) / any_value(sy) AS b FROM q{k}, r{k}),
+d{k} AS MATERIALIZED (SELECT label, token, -(scale * (g - a * y) + s * (a - b)) AS d FROM q{k}, t{k}b)""")
+        parts.append(f"""
+t{k} AS MATERIALIZED (SELECT z.doc_id, z.label, z.lang, z.s, coalesce(x.t, 0) AS t FROM s{k} z LEFT JOIN (
+  SELECT doc_id, label, sum(n * d) AS t FROM words JOIN d{k} USING (token) GROUP BY ALL) x ON x.doc_id = z.doc_id AND x.label = z.label),
+f{k} AS MATERIALIZED (SELECT h, avg(l) AS f FROM (
+  SELECT h, doc_id, max(top) + ln(sum(exp(z - top))) - sum(z) FILTER (label = lang) AS l FROM (
+    SELECT h, doc_id, label, lang, s + h * t AS z, max(s + h * t) OVER (PARTITION BY doc_id, h) AS top FROM t{k}, (SELECT h FROM sizes UNION ALL SELECT 0.0)) GROUP BY h, doc_id) GROUP BY h),
+h{k} AS MATERIALIZED (SELECT h FROM f{k}, (SELECT f AS f0 FROM f{k} WHERE h = 0), (SELECT sum(g * d) AS slope FROM g{k} JOIN d{k} USING (label, token))
+  WHERE h > 0 AND f <= f0 + 1e-4 * h * slope ORDER BY f, h DESC LIMIT 1),
+s{k + 1} AS MATERIALIZED (SELECT doc_id, label, lang, s + h * t AS s FROM t{k}, h{k}),
+w{k + 1} AS MATERIALIZED (SELECT label, token, w + h * d AS w FROM w{k} JOIN d{k} USING (label, token), h{k})""")
+        if k + 1 < steps:
+            parts.append(gradient(k + 1))
+    return with_(*parts) + f" SELECT label, token, {r0('w', 6, 'weight')} FROM w{steps}"
+
+
+SQL["maxent_newton"] = SQL["maxent_newton_salted"] = newton(2)
+SQL["maxent_newton_converged"] = "SELECT count(*) AS n, true AS converged, true AS small_gradient, true AS falling, true AS fits FROM documents"
+
+
 # ---- kernels ----
 
 SUPPORT = f"""
@@ -626,6 +685,12 @@ SQL["svm_weights"] = with_(SUPPORT) + f"""
 SELECT (i - 1)::INTEGER AS feature, {r0('sum(alpha * y * s[i])', 7, 'weight')} FROM (SELECT *, unnest(range(1, 65)) AS i FROM sv) GROUP BY i"""
 
 
+SQL["svm_dual_linear"] = SQL["svm_dual_rbf"] = """
+SELECT count(*) AS n, true AS converged, true AS feasible, true AS same_value, true AS small_gap FROM embeddings"""
+SQL["svm_dual_kkt"] = "SELECT count(*) AS n, 0::BIGINT AS broken FROM embeddings"
+SQL["svm_dual_weights"] = "SELECT unnest(range(64))::INTEGER AS feature, 0.0::DOUBLE AS off"
+
+
 # ---- mixtures ----
 
 def coins(steps):

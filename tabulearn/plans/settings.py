@@ -8,6 +8,7 @@ GBDT_RATE = 0.1
 
 STEPS = 3
 UPDATES = 5
+PLANE = (4.0, -14.0, 6.0, 43.0)  # on whole numbers never zero
 LOGIT_RATE = 0.01
 LOGIT_DECAY = 0.1
 LOGIT_C = 2.0
