@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import distinct_labels
 from tabulearn.operators import (
-    boosting, dual_svm, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, prep, quasi_newton, sequence, splits, trees)
+    boosting, dual_svm, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, node_tables, prep, quasi_newton, sequence, splits, trees)
 from tabulearn.plans import settings as S
 from tabulearn.session import checkpointed
 from tabulearn.sources import text as lines
@@ -842,6 +842,44 @@ def tree_classify_full(spark, d):
     return trees.tree_classify_fit(df, ["s_acctbal"], "third").predict(df).select("s_suppkey", "prediction")
 
 
+@query
+def tree_table_full(spark, d):
+    """A tree on a continuous feature, grown to the end, with its nodes in a table."""
+    df = lineitem(spark, d)
+    tree = node_tables.tree_table_fit(df, ["l_extendedprice"], "l_quantity")
+    return rounded(tree.predict(df).select(*LINE, "l_extendedprice", "prediction"), prediction=8)
+
+
+@query
+def tree_table_costs(spark, d):
+    """Loss of the whole table and of all leaves of the full tree."""
+    tree = node_tables.tree_table_fit(lineitem(spark, d), ["l_extendedprice"], "l_quantity")
+    return rounded(node_tables.subtree_costs(tree).where("node = 1").select("loss", "cost"), loss=2, cost=2)
+
+
+@query
+def tree_table_predict(spark, d):
+    """Nodes split level by level as rows, two levels over many rows."""
+    df = lineitem(spark, d)
+    tree = node_tables.tree_table_fit(df, S.X3, "l_extendedprice", max_depth=2, small_rows=100)
+    return rounded(tree.predict(df).select(*LINE, "prediction"), prediction=4)
+
+
+@query
+def tree_table_classify(spark, d):
+    df = lineitem(spark, d)
+    tree = node_tables.tree_table_classify_fit(df, S.X3, "l_returnflag", max_depth=2, small_rows=100)
+    return tree.predict(df).select(*LINE, "l_returnflag", "prediction")
+
+
+@query
+def gbdt_full(spark, d):
+    """Gradient boosting with trees of any depth: two rounds on a continuous feature."""
+    df = lineitem(spark, d)
+    model = node_tables.gbdt_table_fit(df, ["l_extendedprice"], "l_linestatus", n_estimators=2, learning_rate=S.GBDT_RATE)
+    return rounded(model.score(df).select(*LINE, "l_extendedprice", "score"), score=6)
+
+
 @query
 def split_by_null_key(spark, d):
     keyed = lineitem(spark, d).select(*LINE, F.nullif(F.col("l_orderkey"), F.col("l_orderkey") - F.col("l_orderkey") % 7).alias("key"))

@@ -658,6 +658,29 @@ SQL["maxent_newton"] = SQL["maxent_newton_salted"] = newton(2)
 SQL["maxent_newton_converged"] = "SELECT count(*) AS n, true AS converged, true AS small_gradient, true AS falling, true AS fits FROM documents"
 
 
+# ---- trees as node tables: a full tree on one feature has a leaf for each of its values, or several of equal mean ----
+
+SQL["tree_table_full"] = f"SELECT {KEYS}, l_extendedprice, {r0('avg(l_quantity) OVER (PARTITION BY l_extendedprice)', 8, 'prediction')} FROM lineitem"
+SQL["tree_table_costs"] = f"""
+WITH a AS (SELECT l_quantity AS y, avg(l_quantity) OVER () AS m, avg(l_quantity) OVER (PARTITION BY l_extendedprice) AS p FROM lineitem)
+SELECT {r0('sum((y - m) * (y - m))', 2, 'loss')}, {r0('sum((y - p) * (y - p))', 2, 'cost')} FROM a"""
+SQL["tree_table_predict"] = SQL["tree_regress_predict"]
+SQL["tree_table_classify"] = SQL["tree_classify_predict"]
+
+
+def newton_leaves(rounds):
+    parts = ["t0 AS (SELECT l_orderkey, l_linenumber, l_extendedprice, y, avg(y) OVER () AS f FROM (SELECT *, if(l_linestatus = 'O', 1.0, -1.0)::DOUBLE AS y FROM lineitem))"]
+    for k in range(rounds):
+        parts.append(f"""
+r{k} AS (SELECT *, y / (1 + exp(y * f)) AS r FROM t{k}),
+t{k + 1} AS (SELECT l_orderkey, l_linenumber, l_extendedprice, y, f + {num(S.GBDT_RATE)} * sum(r) OVER p / (sum(abs(r) * (1 - abs(r))) OVER p + 1e-9) AS f
+  FROM r{k} WINDOW p AS (PARTITION BY l_extendedprice))""")
+    return with_(*parts) + f" SELECT {KEYS}, l_extendedprice, {r0('f', 6, 'score')} FROM t{rounds}"
+
+
+SQL["gbdt_full"] = newton_leaves(2)
+
+
 # ---- kernels ----
 
 SUPPORT = f"""
