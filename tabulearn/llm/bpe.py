@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabulearn.llm.frames import blocks, chunks
+from tabulearn.llm.frames import blocks, chunks, held
 
 WIDTHS = (8, 16, 64)
 KNOWN = 150_000
@@ -276,17 +276,6 @@ class Encoder:
                 yield [[[*map(g, ws)] for g in get] for ws in lists if ws]
 
 
-ENCODERS = {}
-
-
-def worker_encoder(key, make) -> Encoder:
-    """One encoder for all tasks that a Python worker runs for the same operator call."""
-    if key not in ENCODERS:
-        ENCODERS.clear()
-        ENCODERS[key] = make()
-    return ENCODERS[key]
-
-
 def encode(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) per row; ``vocab`` is a broadcast Vocabulary. Null and empty texts have no ids.
 
@@ -333,7 +322,7 @@ def digests(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text"
     call = uuid.uuid4().hex
 
     def run(batches):
-        encoder = worker_encoder(call, lambda: digest_encoder(vocab.value))
+        encoder = held(call, lambda: digest_encoder(vocab.value))
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
             for blocks_of in encoder.texts(texts_of(batch)):

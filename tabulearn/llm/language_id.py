@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import blocks, chunks, thinned
+from tabulearn.llm.frames import blocks, chunks, held, thinned
 
 DOCS = 300
 PIECE = 3000
@@ -244,7 +244,7 @@ def predict(df: DataFrame, net, id_col: str = "doc_id", text_col: str = "text")
     call = uuid.uuid4().hex
 
     def run(batches):
-        tagger = worker_tagger(call, net)
+        tagger = held(call, lambda: Tagger(net.value))
         for batch in batches:
             found = list(tagger.label(batch.column(1).fill_null("").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -259,20 +259,9 @@ def accepted(df: DataFrame, net, least: float = 0.35, text_col: str = "text") ->
     call = uuid.uuid4().hex
 
     def run(batches):
-        tagger = worker_tagger(call, net)
+        tagger = held(call, lambda: Tagger(net.value))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("").to_pylist()
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in tagger.label(texts)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
-
-
-TAGGERS = {}
-
-
-def worker_tagger(key: str, net) -> Tagger:
-    """One for all tasks that a Python worker runs for the same call."""
-    if key not in TAGGERS:
-        TAGGERS.clear()
-        TAGGERS[key] = Tagger(net.value)
-    return TAGGERS[key]

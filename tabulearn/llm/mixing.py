@@ -49,19 +49,21 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
 
 
 def sized(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> list:
-    """Columns (source, size, mark): words of the text (null: 0), and a seeded hash that puts a source's rows in order."""
+    """Columns (source, size, mark): words of the text (null: 0), and a seeded hash of id and text that puts a source's rows in order."""
     size = F.coalesce(F.size(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))), F.lit(0))
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(size).cast("long")
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1]).cast("binary"))
     return [F.col(source_col).alias("source"), size.alias("size"), mark.alias("mark")]
 
 
 def plan(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id",
          text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(source, source_size, target, whole, last_mark, last_size) per source.
+    """(source, source_size, target, whole, last_mark, last_taken, last_all) per source.
 
-    All documents of a source are taken ``whole`` times, and those up to (last_mark, last_size) in its order once more.
-    Hash buckets per source keep every window small, however large the source; the result doesn't depend on them.
+    All documents of a source are taken ``whole`` times, and those before ``last_mark`` in its order once more; of the
+    ``last_all`` rows with that mark, which agree in id and text, ``last_taken`` are. Rows of one mark are one row with a
+    count, and hash buckets per source keep every window small, however large the source; the result depends on neither.
     """
     rows = checkpointed(df.select(*sized(df, seed, id_col, text_col, source_col)))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -82,19 +84,36 @@ def plan(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     # Only the bucket in which the rest of the target ends needs an order of its rows.
     cut = buckets.where((F.col("before") <= rest) & (F.col("before") + F.col("held") > 0)).select(F.col("of").alias("cut_of"), F.col("bucket").alias("cut"), "before", rest.alias("rest"))
-    inside = Window.partitionBy("source", "bucket").orderBy("mark", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(cut, F.col("source").eqNullSafe(F.col("cut_of")) & (F.col("bucket") == F.col("cut")))
-    taken = placed.where((2 * (F.col("before") + F.col("inside")) + F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0))
-    last = taken.groupBy("source").agg(F.max(F.struct("mark", "size")).alias("last")).select(F.col("source").alias("last_of"), "last")
+    marks = rows.groupBy("source", "bucket", "mark").agg(F.first("size").alias("size"), F.count("*").alias("n"))
+    inside = Window.partitionBy("source", "bucket").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
+    placed = marks.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    placed = placed.join(cut, F.col("source").eqNullSafe(F.col("cut_of")) & (F.col("bucket") == F.col("cut"))).where("rest > 0")
+    # Row j of a mark is taken if its middle word is inside the rest: 2 (before + inside + j size) + size <= 2 rest.
+    room = F.col("rest") - F.col("before") - F.col("inside")
+    fits = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).otherwise(F.when(room >= 0, F.col("n")).otherwise(F.lit(0)))
+    taken = placed.withColumn("fits", F.least(F.col("n"), fits).cast("long")).where("fits > 0")
+    last = taken.groupBy("source").agg(F.max(F.struct("mark", "fits", "n")).alias("last")).select(F.col("source").alias("last_of"), "last")
     found = targets.join(last, F.col("of").eqNullSafe(F.col("last_of")), "left")
-    return checkpointed(found.select("of", "source_size", "target", "whole", F.col("last.mark").alias("last_mark"), F.col("last.size").alias("last_size")))
+    return checkpointed(found.select("of", "source_size", "target", "whole", F.col("last.mark").alias("last_mark"),
+                                     F.col("last.fits").alias("last_taken"), F.col("last.n").alias("last_all")))
 
 
-def repeats() -> Column:
-    """How often a row with (size, mark) is taken by its source's plan."""
-    once_more = (F.col("mark") < F.col("last_mark")) | ((F.col("mark") == F.col("last_mark")) & (F.col("size") <= F.col("last_size")))
-    return F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("int")
+def repeats(rows: DataFrame) -> DataFrame:
+    """Adds how often a row beside its source's plan is taken.
+
+    Where only some of the rows with the last mark fit, these rows are numbered and the first of them taken; they agree
+    in id and text, so it doesn't matter which.
+    """
+    split = F.coalesce((F.col("mark") == F.col("last_mark")) & (F.col("last_taken") < F.col("last_all")), F.lit(False))
+    once_more = F.coalesce(F.col("mark") <= F.col("last_mark"), F.lit(False)).cast("int")
+    sure = rows.where(~split).withColumn("repeats", F.col("whole") + once_more)
+    if rows.where(split).select("mark").isEmpty():
+        return sure
+    tied = checkpointed(rows.where(split).withColumn("_turn", F.monotonically_increasing_id()))
+    tied = ranked(tied, F.col("source"), F.col("_turn"))
+    first = tied.groupBy("source").agg(F.min("pos").alias("first")).select(F.col("source").alias("first_of"), "first")
+    tied = tied.join(first, F.col("source").eqNullSafe(F.col("first_of")))
+    return sure.unionByName(tied.withColumn("repeats", F.col("whole") + (F.col("pos") - F.col("first") < F.col("last_taken")).cast("int")).select(sure.columns))
 
 
 def with_plan(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -108,13 +127,13 @@ def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float
     """(id_col, source, size, source_size, target, repeats, taken) per row.
 
     Sources by code point, null last (null is a source of its own), take the weights in turn. The part that is taken
-    once more is the documents in the order of a seeded hash of the id, as long as their middle word is inside the
-    rest of the target, so a source misses its target by half a document at most. Rows without words count none, and
-    rows with equal ids and sizes are taken alike.
+    once more is the documents in the order of a seeded hash of id and text, as long as their middle word is inside the
+    rest of the target, so a source misses its target by half a document at most, also if ids repeat or are null. Rows
+    without words count none.
     """
     found = plan(df, weights, share, max_epochs, seed, id_col, text_col, source_col)
     rows = df.select(F.col(id_col).alias("id"), *sized(df, seed, id_col, text_col, source_col))
-    rows = with_plan(rows, found).withColumn("repeats", repeats())
+    rows = repeats(with_plan(rows, found))
     return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
@@ -123,5 +142,5 @@ def mixed_rows(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs:
     """The rows themselves, as often as the mix takes each, with their columns."""
     found = plan(df, weights, share, max_epochs, seed, id_col, text_col, source_col)
     rows = df.select(F.struct(*df.columns).alias("row"), *sized(df, seed, id_col, text_col, source_col))
-    rows = with_plan(rows, found).where(repeats() > 0)
-    return rows.select("row", F.explode(F.sequence(F.lit(1), repeats())).alias("turn")).select("row.*")
+    rows = repeats(with_plan(rows, found)).where("repeats > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "repeats")).alias("turn")).select("row.*")

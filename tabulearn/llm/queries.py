@@ -50,7 +50,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit(docs, crc_fold(F.col("doc_id"), 5) != 0)
     found = language_id.predict(docs, spark.sparkContext.broadcast(net))
-    return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 4) != 2)
     scored = toxicity.score(docs, spark.sparkContext.broadcast(lexicon), threshold=0.3)
-    return scored.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ QUERIES = {
 MIXING_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark
+         md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS mark
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, 2.0 * sum(size) AS cap,

@@ -142,13 +142,12 @@ def near_duplicates(df: DataFrame, words: int = 5, distance: int = 4, id_col: st
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(df: DataFrame, words: int = 5, distance: int = 9, n_segments: int = None, id_col: str = "doc_id", text_col: str = "text",
+def one_per_group(df: DataFrame, words: int = 4, distance: int = 4, n_segments: int = None, id_col: str = "doc_id", text_col: str = "text",
                   without_id_stay: bool = True) -> DataFrame:
     """The rows that stay, with their columns: of each component the first by id (null last), then by a hash of all columns.
 
     Rows that agree in all columns are one. With ``without_id_stay``, rows with null ids all stay besides; else they are
-    rows like any other. Nine of 64 bits is about where the angle between two sets of shingles with similarity 0.8 lies.
-    By default all links within the distance are found. Shingles are not compared: similarity is only estimated by the bits.
+    rows like any other. By default all links within the distance are found; shingles are not compared beside the bits.
     """
     # A hash of columns passes over nulls, so it takes their places as well.
     mark = F.xxhash64(*df.columns, F.concat(*[F.col(c).isNull().cast("string") for c in df.columns]))

@@ -129,19 +129,22 @@ def repeated_starts(group: np.ndarray, context: list, low: np.ndarray, high: np.
 
     back_place, back_common = order(matrix(base + high - 1, high, -1, REACH))
     next_place, next_common = order(matrix(base + high, sizes - high, 1, span))
-    depth = np.arange(REACH)
-    phrase = np.cumsum(back_common[:, None] < depth, axis=0, dtype=np.int32)  # class of the phrase suffix of each length
-    follow = np.cumsum(next_common[:, None] < span - depth, axis=0, dtype=np.int32)
-    who, a = np.nonzero((depth >= low[:, None]) & (depth <= high[:, None]))
-    code = (a * (m + 1) + phrase[back_place[who], a]) * np.int64(m + 1) + follow[next_place[who], a]
-    by = np.argsort(code, kind="stable")
-    same = code[by[1:]] == code[by[:-1]]
-    twice = np.zeros(len(code), bool)
-    twice[by[1:]] |= same
-    twice[by[:-1]] |= same
     near, far = np.full(m, REACH), np.full(m, -1)
-    np.minimum.at(near, who[twice], a[twice])
-    np.maximum.at(far, who[twice], a[twice])
+    by_back, by_next = np.argsort(back_place), np.argsort(next_place)
+    # One length of the phrase suffix at a time, so that memory is a few numbers per trigger beside its bytes.
+    for a in range(int(low.min()), int(high.max()) + 1):
+        who = np.flatnonzero((low <= a) & (a <= high))
+        if len(who) < 2:
+            continue
+        phrase, follow = np.empty(m, np.int64), np.empty(m, np.int64)
+        phrase[by_back] = np.cumsum(back_common < a)
+        follow[by_next] = np.cumsum(next_common < span - a)
+        code = phrase[who] * (m + 1) + follow[who]
+        by = np.argsort(code, kind="stable")
+        same = np.flatnonzero(code[by[1:]] == code[by[:-1]])
+        twice = who[np.concatenate([by[same], by[same + 1]])]
+        near[twice] = np.minimum(near[twice], a)
+        far[twice] = a
     return near, far
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulearn.llm import bpe
+from tabulearn.llm.frames import held
 
 
 def single_tokens(vocab: bpe.Vocabulary) -> frozenset:
@@ -44,7 +45,7 @@ def count_tokens(df: DataFrame, vocab, single, limit: int, id_col: str = "doc_id
         return bpe.Encoder(vocab.value, lambda ids: len(ids) - 1, fixed=[dict.fromkeys(single.value, 0)])
 
     def run(batches):
-        encoder = bpe.worker_encoder(call, make)
+        encoder = held(call, make)
         for batch in batches:
             counts = [sum(len(kept) + sum(kept) for (kept,) in lists) for lists in encoder.texts(bpe.texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])

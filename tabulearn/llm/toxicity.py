@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import chunks, thinned
+from tabulearn.llm.frames import chunks, held, thinned
 
 TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
 TERMS = 2000
@@ -57,6 +57,23 @@ class Trie:
         known = ends + [n[1:4] for _, n in below]
         return (ends[0][0] if ends else -1, max((k[0] for k in known), default=-1), min((k[1] for k in known), default=0), max((k[2] for k in known), default=-1), below)
 
+    @staticmethod
+    def along(word: str, term: str) -> int:
+        """Edits of the word's automaton to the end of one branch of the trie, or -1 if they are more than the branch allows."""
+        size, allowed = len(word), edits_allowed(term)
+        places = {}
+        for i, c in enumerate(word):
+            places[c] = places.get(c, 0) | 1 << i
+        full, s0, s1, s2 = (1 << size + 1) - 1, 1, 3, 7
+        for c in term:
+            m = places.get(c, 0)
+            t0 = (s0 & m) << 1
+            t1 = ((s1 & m) << 1 | s0 | s0 << 1 | t0 << 1) & full
+            s2 = ((s2 & m) << 1 | s1 | s1 << 1 | t1 << 1) & full
+            s0, s1 = t0, t1
+        edits = 0 if s0 >> size & 1 else 1 if s1 >> size & 1 else 2 if s2 >> size & 1 else 3
+        return edits if edits <= allowed else -1
+
     def distance(self, word: str) -> int:
         """Fewest edits to a lexicon word that allows them, or -1."""
         size = len(word)
@@ -89,24 +106,104 @@ class Trie:
         return best if best < 3 else -1
 
 
+# Odd multipliers of the hashes.
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+MASK_BITS = 24
+FORMS = 4_000_000  # hashes at once
+
+
+def shortened(words: list, size: int, most: int) -> np.ndarray:
+    """Hashes (word, form) of words of one size with up to ``most`` letters left out."""
+    points = np.array(words, dtype=f"<U{size}").view(np.uint32).reshape(len(words), size).astype(np.uint64)
+    power = np.array([pow(BASE, i, 2**64) for i in range(size)], np.uint64)
+    back = np.uint64(pow(BASE, -1, 2**64))
+    sums = np.zeros((len(words), size + 1), np.uint64)
+    np.cumsum((points + np.uint64(1)) * power, axis=1, out=sums[:, 1:])
+    whole = sums[:, -1:]
+    out = [whole]
+    if most >= 1:
+        out.append(sums[:, :-1] + (whole - sums[:, 1:]) * back)
+    if most >= 2 and size >= 2:
+        i, j = np.triu_indices(size, 1)
+        out.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (whole - sums[:, j + 1]) * np.uint64(pow(BASE, -2, 2**64)))
+    out = np.concatenate(out, axis=1) * MIX
+    return out ^ (out >> np.uint64(32))
+
+
+class Neighbours:
+    """The hashes of the lexicon's shortened forms with their words, and a mask over the hashes' first bits."""
+
+    def __init__(self, words):
+        self.words, hashes, owners = words, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        places = np.array([len(w) for w in words], np.int64)
+        for size in np.unique(places).tolist():
+            mine = np.flatnonzero(places == size)
+            forms = shortened([words[i] for i in mine], size, edits_allowed(words[mine[0]]))
+            hashes.append(forms.ravel())
+            owners.append(np.repeat(mine, forms.shape[1]))
+        hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
+        self.mask = np.zeros(1 << MASK_BITS, bool)
+        self.mask[self.hashes >> np.uint64(64 - MASK_BITS)] = True
+        sizes = [(len(w) - edits_allowed(w), len(w) + edits_allowed(w)) for w in words]
+        self.shortest, self.longest = min((a for a, _ in sizes), default=1), max((b for _, b in sizes), default=0)
+
+    def pairs(self, words: list) -> dict:
+        """Per word the lexicon words that share a form with it; none within its edits is missing."""
+        by_size, out = {}, {}
+        for w in words:
+            if self.shortest <= len(w) <= self.longest:
+                by_size.setdefault(len(w), []).append(w)
+        for size, mine in by_size.items():
+            # A word of this size can be within two edits of a word of eight letters, or within one of five.
+            most = 2 if size >= 6 else 1 if size >= 4 else 0
+            step = max(1, FORMS // (1 + size + size * size // 2))
+            for at in range(0, len(mine), step):
+                part = mine[at : at + step]
+                forms = shortened(part, size, most)
+                row, place = np.nonzero(self.mask[forms >> np.uint64(64 - MASK_BITS)])
+                found = forms[row, place]
+                low, high = np.searchsorted(self.hashes, found), np.searchsorted(self.hashes, found, "right")
+                n = high - low
+                owner = self.owners[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                for pair in np.unique(np.repeat(row, n) * len(self.words) + owner).tolist():
+                    out.setdefault(part[pair // len(self.words)], []).append(self.words[pair % len(self.words)])
+        return out
+
+
 class Lexicon:
     """Words and word beginnings, with the weights of the logistic model."""
 
     def __init__(self, words=(), stems=()):
         self.words, self.stems = sorted(words), sorted(stems)
-        self.trie, self.stem_set = Trie(self.words), frozenset(stems)
+        self.trie, self.neighbours, self.stem_set = Trie(self.words), None, frozenset(stems)
         self.stem_sizes = sorted({len(s) for s in stems})
         self.weights, self.bias = np.zeros(len(FEATURES)), -5.0
 
     def kind(self, word: str) -> int:
-        """0 no hit, 1 as in the lexicon, 2 misspelled."""
-        if any(word[:n] in self.stem_set for n in self.stem_sizes):
-            return 1
-        edits = self.trie.distance(word)
-        if edits == -1 and RUNS.search(word):
-            edits = max(self.trie.distance(RUNS.sub(r"\1", word)), -1)
-            edits = edits if edits == -1 else edits + 1
-        return 0 if edits == -1 else 1 if edits == 0 else 2
+        return self.kinds([word])[0]
+
+    def kinds(self, words: list) -> list:
+        """Per word 0 for no hit, 1 as in the lexicon, 2 misspelled."""
+        if self.neighbours is None:  # made where it is used, so that the mask isn't sent
+            self.neighbours = Neighbours(self.words)
+        stems, sizes = self.stem_set, self.stem_sizes
+        out = [1 if any(w[:n] in stems for n in sizes) else 0 for w in words]
+        rest = [i for i, kind in enumerate(out) if not kind]
+        run = {i: RUNS.sub(r"\1", words[i]) for i in rest if RUNS.search(words[i])}
+        near = self.neighbours.pairs([words[i] for i in rest] + list(run.values()))
+
+        def distance(word):
+            return min((d for t in near.get(word, ()) if (d := self.trie.along(word, t)) >= 0), default=-1)
+
+        for i in rest:
+            edits = distance(words[i])
+            if edits == -1 and i in run:
+                edits = distance(run[i])
+                edits = edits if edits == -1 else edits + 1
+            out[i] = 0 if edits == -1 else 1 if edits == 0 else 2
+        return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(features @ self.weights + self.bias)))
@@ -135,19 +232,21 @@ class Scorer:
         at = 0
         for part in chunks(texts, map(len, texts), BLOCK_CHARS):
             lowered = [t.lower() for t in part]
-            for text in lowered:
-                out[at] = self.of(text)
+            counts = [Counter(TOKEN.findall(t) if len(t) <= BLOCK_CHARS else (m.group() for m in TOKEN.finditer(t))) for t in lowered]
+            self.learn(set().union(*counts))
+            for text, count in zip(lowered, counts):
+                out[at] = self.of(text, count)
                 at += 1
         return out
 
-    def of(self, text: str) -> np.ndarray:
-        tokens = TOKEN.findall(text) if len(text) <= BLOCK_CHARS else (m.group() for m in TOKEN.finditer(text))
-        count = Counter(tokens)
+    def learn(self, words: set):
+        if len(self.known) > KNOWN:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self.lexicon.kinds(new)))
+
+    def of(self, text: str, count: Counter) -> np.ndarray:
         known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        new = [w for w in count if w not in known]
-        known.update(zip(new, map(self.lexicon.kind, new)))
         hits = {w for w in count if known[w]}
         if not hits:
             return np.zeros(len(FEATURES))
@@ -248,7 +347,7 @@ def featured(df: DataFrame, lexicon, keep: str, text_col: str = "text") -> DataF
     call = uuid.uuid4().hex
 
     def run(batches):
-        scorer = worker_scorer(call, lexicon)
+        scorer = held(call, lambda: Scorer(lexicon.value))
         for batch in batches:
             x = scorer.features(batch.column(1).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], [keep, "x"])
@@ -261,7 +360,7 @@ def score(df: DataFrame, lexicon, threshold: float = 0.3, id_col: str = "doc_id"
     call = uuid.uuid4().hex
 
     def run(batches):
-        scorer = worker_scorer(call, lexicon)
+        scorer = held(call, lambda: Scorer(lexicon.value))
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             scores = scorer.lexicon.score(scorer.features(texts)) if texts else np.zeros(0)
@@ -270,14 +369,3 @@ def score(df: DataFrame, lexicon, threshold: float = 0.3, id_col: str = "doc_id"
     kind = df.schema[id_col].dataType.simpleString()
     scored = df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-SCORERS = {}
-
-
-def worker_scorer(key: str, lexicon) -> Scorer:
-    """One for all tasks that a Python worker runs for the same call."""
-    if key not in SCORERS:
-        SCORERS.clear()
-        SCORERS[key] = Scorer(lexicon.value)
-    return SCORERS[key]

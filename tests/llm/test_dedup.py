@@ -95,14 +95,14 @@ def test_one_per_group_keeps_rows(spark, docs):
     assert simhash.near_duplicates(df.where("false")).collect() == []
 
 
-def test_pipeline_finds_all_links_of_nine_bits(spark, monkeypatch):
-    # In each of four segments two or three bits differ; of five, one differs in a single bit.
-    fps = spark.createDataFrame([(0,), (sum(1 << b for b in (1, 5, 17, 21, 33, 37, 49, 53, 57)),)], "fp long")
-    assert simhash.links(fps, 9, 4).count() == 0
+def test_pipeline_takes_the_contract_of_the_operator(spark, monkeypatch):
+    # In each of two segments two bits differ; of three, one differs in a single bit.
+    fps = spark.createDataFrame([(0,), (sum(1 << b for b in (1, 5, 33, 50)),)], "fp long")
+    assert simhash.links(fps, 4, 2).count() == 0
     asked = {}
-    monkeypatch.setattr(simhash, "near_duplicates", lambda df, words, distance, id_col, text_col, n: asked.update(d=distance, n=n) or df.select(id_col, F.col(id_col).alias("component_id")))
+    monkeypatch.setattr(simhash, "near_duplicates", lambda df, words, distance, id_col, text_col, n: asked.update(w=words, d=distance, n=n) or df.select(id_col, F.col(id_col).alias("component_id")))
     corpus_pipeline.near_copies(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
-    assert asked["d"] == 9 and simhash.links(fps, asked["d"], asked["n"]).count() == 1
+    assert (asked["w"], asked["d"]) == (4, 4) and simhash.links(fps, asked["d"], asked["n"]).count() == 1
 
 
 def test_one_per_group_of_repeated_and_null_ids(spark, docs):

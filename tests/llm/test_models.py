@@ -95,6 +95,44 @@ def test_automaton_equals_edit_distance():
         assert trie.distance(w) == min(within, default=-1), w
 
 
+def test_branches_found_by_shortened_forms_miss_nothing(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("aeinstéß", k=rng.randint(1, 12)))
+    lexicon = sorted({word() for _ in range(150)} | {"a", "ab"})
+    trie, near = toxicity.Trie(lexicon), toxicity.Neighbours(lexicon)
+    words = sorted({word() for _ in range(1500)} | set(lexicon) | {w[1:] + "x" for w in lexicon} | {w[:-1] for w in lexicon if len(w) > 1} | {"x" * 500})
+    monkeypatch.setattr(toxicity, "FORMS", 999)
+    some = near.pairs(words)
+    for w in words:
+        assert trie.distance(w) == min((d for t in some.get(w, ()) if (d := trie.along(w, t)) >= 0), default=-1), w
+    assert toxicity.Neighbours([]).pairs(words) == {} and near.pairs([]) == {}
+
+
+def test_hits_equal_plain_edit_distance(spark, docs):
+    """Counts of hits over whole texts, from every word against every lexicon word; also one very long word."""
+    rng = random.Random(8)
+    terms = ["stupid", "idiot", "disgusting", "scum"]
+    lexicon = toxicity.Lexicon(terms)
+    texts = []
+    for _ in range(60):
+        words = rng.choices(["alpha", "stupid", "stpid", "disgustng", "dizgusstin", "idiom", "scumm", "scum", "idddiot"], k=rng.randint(1, 30))
+        texts.append(" ".join(words))
+    texts += ["x" * 3_000_000 + " stupid", "stupid" * 400_000]
+    got = toxicity.featured(docs(texts), spark.sparkContext.broadcast(lexicon), "doc_id").collect()
+    for r in got:
+        counts, total = [0, 0], 0
+        for w in texts[r.doc_id].split():
+            total += 1
+            if len(w) > 100:
+                continue
+            short = toxicity.RUNS.sub(r"\1", w)
+            best = [min((d for t in terms if (d := edit_distance(v, t)) <= toxicity.edits_allowed(t)), default=-1) for v in (w, short)]
+            edits = best[0] if best[0] >= 0 or short == w else best[1] + 1 if best[1] >= 0 else -1
+            if edits >= 0:
+                counts[edits > 0] += 1
+        assert r.x == pytest.approx([np.log1p(counts[0]), np.log1p(counts[1]), 0.0, np.log1p(100 * sum(counts) / total)])
+
+
 def test_context_and_misspelling():
     lexicon = toxicity.Lexicon(["stupid", "disgusting", "idiot"], ["vequ"])
     x = toxicity.Scorer(lexicon).features(["you stupld man", 'he said "stupid" again', "Stuuuupid!", "vequaire", "", "a st*pid idiot", "stupid " * 50])

@@ -17,7 +17,7 @@ def test_against_sql(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.SQL) <= set(entry.oracle_sql())
 
 
@@ -42,6 +42,56 @@ def test_mixing_by_hand(spark, docs):
     assert counts == {r.doc_id: r.repeats for r in rows if r.repeats}
 
 
+def plain_mix(rows, weights, share, max_epochs, seed=7):
+    """(target, words taken) per source by the definition, row by row, for (id, text, source)."""
+    import hashlib
+
+    size = {}
+    for _, text, source in rows:
+        size[source] = size.get(source, 0) + len((text or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    budget, full = share * sum(size.values()), set()
+    while True:
+        rest = [s for s in order if s not in full]
+        level = (budget - sum(max_epochs * size[s] for s in full)) / max(sum(weight[s] for s in rest), 1e-300)
+        over = {s for s in rest if weight[s] * level > max_epochs * size[s]}
+        if not over:
+            break
+        full |= over
+    out = {}
+    for s in order:
+        target = max_epochs * size[s] if s in full else weight[s] * level
+        whole = int(target // size[s]) if size[s] else 0
+        rest, before, taken = target - whole * size[s], 0, whole * size[s]
+        mine = sorted((hashlib.md5(f"{seed}:{'' if i is None else i}:{t or ''}".encode()).hexdigest(), len((t or "").split())) for i, t, of in rows if of == s)
+        for _, n in mine:
+            if rest > 0 and 2 * before + n <= 2 * rest:
+                taken += n
+            before += n
+        out[s] = (target, taken)
+    return out
+
+
+@pytest.mark.parametrize("case", ["null ids", "one id", "equal rows", "mixed sizes"])
+def test_mixing_with_ties(docs, case):
+    """Targets are met within half a document whatever ids repeat, as in the row-wise definition."""
+    rng = random.Random(case)
+    n = 120
+    ids = {"null ids": [None] * n, "one id": [5] * n, "equal rows": [None] * n, "mixed sizes": [rng.choice([None, 1, 2, i]) for i in range(n)]}[case]
+    texts = ["w " * 10 if case == "equal rows" else " ".join(rng.choices("abc", k=10 if case != "mixed sizes" else rng.randint(0, 30))) for _ in range(n)]
+    sources = [rng.choice("ab") if case != "one id" else "a" for _ in range(n)]
+    df = docs(texts, ids=ids, sources=sources)
+    want = plain_mix(list(zip(ids, texts, sources)), (5, 2, 1), 1.45, 2.0)
+    rows = mixing.mix(df, weights=(5, 2, 1), share=1.45).collect()
+    assert len(rows) == n
+    for s, (target, taken) in want.items():
+        mine = [r for r in rows if r.source == s]
+        assert mine[0].target == pytest.approx(target) and sum(r.taken for r in mine) == taken
+        assert abs(taken - target) <= max(r.size for r in mine) / 2 and all(r.taken <= 2 * r.size for r in mine)
+    assert mixing.mixed_rows(df, weights=(5, 2, 1), share=1.45).count() == sum(r.repeats for r in rows)
+
+
 def test_mixing_of_nothing(spark, docs):
     df = docs(["a"])
     assert mixing.mix(df.where("false")).collect() == []
