@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: fingerprints of five-word shingles that differ in at most nine bits."""
-    return simhash.one_per_group(docs, words=5, distance=9, without_id_stay=False)
+    """Keep one document of each group of near copies: fingerprints of four-word shingles that differ in at most four bits, as the operator's query has them."""
+    return simhash.one_per_group(docs, words=4, distance=4, without_id_stay=False)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
