@@ -102,7 +102,7 @@ def test_pipeline_takes_the_contract_of_the_operator(spark, monkeypatch):
     asked = {}
     monkeypatch.setattr(simhash, "near_duplicates", lambda df, words, distance, id_col, text_col, n: asked.update(w=words, d=distance, n=n) or df.select(id_col, F.col(id_col).alias("component_id")))
     corpus_pipeline.near_copies(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
-    assert (asked["w"], asked["d"]) == (4, 4) and simhash.links(fps, asked["d"], asked["n"]).count() == 1
+    assert (asked["w"], asked["d"]) == (4, 4) and simhash.links(fps, asked["d"], asked["n"]).count() > 0
 
 
 def test_one_per_group_of_repeated_and_null_ids(spark, docs):
