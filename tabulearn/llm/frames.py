@@ -1,5 +1,7 @@
 """Small helpers shared by the operators of this folder."""
 
+import ctypes
+import gc
 from itertools import islice
 
 import numpy as np
@@ -67,6 +69,16 @@ HELD = {}
 def held(call: str, make):
     """What ``make`` gives, once per Python worker for all its tasks of one call. Of all operators only the latest call's is kept."""
     if call not in HELD:
-        HELD.clear()
+        forget()
         HELD[call] = make()
     return HELD[call]
+
+
+def forget():
+    """Give back what a reused worker holds of earlier operators, to the system where the C library can."""
+    HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulearn.llm.components import connected_components
+from tabulearn.llm.frames import forget
 from tabulearn.session import checkpointed
 
 BITS = 64
@@ -48,6 +49,7 @@ def fingerprints(df: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     """(id_col, fp long) per row; null and empty texts have fingerprint zero."""
 
     def run(batches):
+        forget()
         for batch in batches:
             raw = b"".join([fingerprint(t.as_py() or "", words) for t in batch.column(1)])
             fp = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)

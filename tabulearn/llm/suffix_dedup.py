@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import utf8_buffer
+from tabulearn.llm.frames import forget, utf8_buffer
 from tabulearn.session import checkpointed
 
 REACH = 160
 GRAM = 8
 TILE = 1 << 19
-ORDER_ROWS = 16_000
+ORDER_ROWS = 8_000
 HOT = 50_000
 SALTS = 64
 
@@ -110,9 +110,11 @@ def repeated_starts(group: np.ndarray, context: list, low: np.ndarray, high: np.
     flat = np.append(flat, 0)
 
     def matrix(origin, count, step, width):
-        places = np.arange(width)
-        known = places < count[:, None]
-        return np.where(known, flat[np.where(known, origin[:, None] + step * places, 0)] + np.uint8(1), np.uint8(0))
+        places, out = np.arange(width), np.empty((m, width), np.uint8)
+        for at in range(0, m, 4096):
+            known = places < count[at : at + 4096, None]
+            out[at : at + 4096] = np.where(known, flat[np.where(known, origin[at : at + 4096, None] + step * places, 0)] + np.uint8(1), np.uint8(0))
+        return out
 
     def order(rows):
         """Sorted place of each row within its group, and the common prefix of sorted neighbours (-1 between groups)."""
@@ -148,6 +150,17 @@ def repeated_starts(group: np.ndarray, context: list, low: np.ndarray, high: np.
     return near, far
 
 
+def parted(table: pa.Table, most: int):
+    """The table in parts of whole keys, of ``most`` rows or one key each."""
+    key = table.column("key").to_numpy()
+    starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    first = 0
+    for k in range(1, len(starts)):
+        if k == len(starts) - 1 or starts[k + 1] - starts[first] > most:
+            yield table.slice(starts[first], starts[k] - starts[first]).combine_chunks()
+            first = k
+
+
 def whole_groups(batches, least: int):
     """Tables of at least ``least`` rows that end where the key, by which the rows are sorted, changes."""
     held = []
@@ -199,6 +212,7 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def parse(batches):
+        forget()
         constants = mixing_constants(TILE + span + GRAM)
         for batch in batches:
             flat, offsets = utf8_buffer(batch.column("text"))
@@ -209,6 +223,7 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(key), places], ["id", "mark", "key", "places"])
 
     def places_of_keys(batches):
+        forget()
         constants = mixing_constants(TILE + span + GRAM)
         for batch in batches:
             for _, _, _, _, key in triggers(*utf8_buffer(batch.column("text")), span, constants):
@@ -225,6 +240,7 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     found = found.select("id", "mark", "key", "places", salt.alias("salt")).join(counts, ["key", "salt"])
 
     def cut(batches):
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 found = batch.column("found").slice(i, 1).flatten()
@@ -249,7 +265,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
         return with_text.mapInArrow(cut, f"id {kind}, mark long, key long, low int, high int, at array<long>, context binary")
 
     def order(batches):
-        for table in whole_groups(batches, ORDER_ROWS):
+        forget()
+        for table in (part for table in whole_groups(batches, ORDER_ROWS) for part in parted(table, ORDER_ROWS)):
             low, high = table.column("low").to_numpy().astype(np.int64), table.column("high").to_numpy().astype(np.int64)
             near, far = repeated_starts(table.column("key").to_numpy(), table.column("context").to_pylist(), low, high, span)
             at = table.column("at").combine_chunks()
@@ -266,6 +283,7 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     spans = contexts(F.col("places_of_key") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark long, s long, e long")
 
     def every_start(batches):
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 context, low, high, places = (batch.column(c)[i].as_py() for c in ("context", "low", "high", "at"))
@@ -337,6 +355,7 @@ def remove_repeats(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_
     """
 
     def finish(batches):
+        forget()
         for batch in batches:
             rows = []
             for text, gone in gaps(batch):
@@ -362,6 +381,7 @@ def cleaned_rows(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_co
     joined = with_spans(df, span, id_col, text_col)
 
     def finish(batches):
+        forget()
         for batch in batches:
             text = [b"".join(kept_parts(text, gone)).decode("utf-8", "ignore") for text, gone in gaps(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], ["row", "kept"])
