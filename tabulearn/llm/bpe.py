@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from tabulearn.llm.frames import blocks, chunks, held
 
 WIDTHS = (8, 16, 64)
-KNOWN = 150_000
-BLOCK_CHARS = 4_000_000
+KNOWN = 80_000
+BLOCK_CHARS = 2_000_000
 BLOCK_WORDS = 250_000
 NO_RANK = np.int32(2**31 - 1)
 
