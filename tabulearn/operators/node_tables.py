@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,11 @@ def grow_rows(rule: Rule, x: np.ndarray, stats: dict, depth: int) -> dict:
     return out
 
 
+def root() -> Column:
+    """The number 1, in a form the optimizer doesn't see through: a join on a constant would lose its key."""
+    return (F.monotonically_increasing_id() >= 0).cast("long")
+
+
 @dataclass
 class NodeTree:
     """``levels``: per level of large nodes a table (node, feature, point, left); ``ends``: subtrees by the node they start at."""
@@ -131,7 +136,7 @@ class NodeTree:
 
     def leaf(self, df: DataFrame, out: str) -> DataFrame:
         """Adds the value of the leaf each row ends in; null where a feature is null."""
-        rows = df.withColumns({"_node": F.lit(1).cast("long"), "_xs": F.array(*[F.col(f).cast("double") for f in self.features]), "_turn": F.monotonically_increasing_id()})
+        rows = df.withColumns({"_node": root(), "_xs": F.array(*[F.col(f).cast("double") for f in self.features]), "_turn": F.monotonically_increasing_id()})
         for level in self.levels:
             names = level.select(F.col("node").alias("_node"), F.col("feature").alias("_f"), F.col("point").alias("_p"), F.col("left").alias("_l"))
             rows = keyed_join(rows, names, "_node", F.col("_turn"), "left")
@@ -230,7 +235,7 @@ def grow_tables(rows: DataFrame, rule: Rule, start: float, cuts: dict) -> NodeTr
     """``rows`` has the features and n, m, w (and h), or counts per class. Each level is written out."""
     features = rule.features
     stats = (["n", "m", "w"] + (["h"] if rule.newton else [])) if rule.classes is None else rule.sums
-    rows = rows.select(*[F.col(f).cast("double").alias(f) for f in features], *stats, F.lit(1).cast("long").alias("node"), F.lit(float(start)).alias("mean"))
+    rows = rows.select(*[F.col(f).cast("double").alias(f) for f in features], *stats, root().alias("node"), F.lit(float(start)).alias("mean"))
     levels, ends, depth, next_node = [], None, 0, 2
 
     def finish(part: DataFrame, depth: int) -> DataFrame:

@@ -599,10 +599,10 @@ def scaling(steps):
              "w0 AS (SELECT label, token, 0.0::DOUBLE AS w FROM emp)"]
     for k in range(steps):
         parts.append(f"""
-z{k} AS (SELECT doc_id, label, sum(n * w) AS z FROM words JOIN w{k} USING (token) GROUP BY ALL),
-p{k} AS (SELECT doc_id, label, exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id) AS p FROM z{k}),
-x{k} AS (SELECT label, token, sum(n * p) / any_value(n_docs) AS ex FROM words JOIN p{k} USING (doc_id), nd GROUP BY label, token),
-w{k + 1} AS (SELECT label, token, w + (ln(e + 1e-9) - ln(ex + 1e-9)) / m AS w FROM w{k} JOIN emp USING (label, token) JOIN x{k} USING (label, token), top)""")
+z{k} AS MATERIALIZED (SELECT doc_id, label, sum(n * w) AS z FROM words JOIN w{k} USING (token) GROUP BY ALL),
+p{k} AS MATERIALIZED (SELECT doc_id, label, exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id) AS p FROM z{k}),
+x{k} AS MATERIALIZED (SELECT label, token, sum(n * p) / any_value(n_docs) AS ex FROM words JOIN p{k} USING (doc_id), nd GROUP BY label, token),
+w{k + 1} AS MATERIALIZED (SELECT label, token, w + (ln(e + 1e-9) - ln(ex + 1e-9)) / m AS w FROM w{k} JOIN emp USING (label, token) JOIN x{k} USING (label, token), top)""")
     parts.append(f"""
 part AS (SELECT doc_id, label, sum(n * w) AS s FROM words JOIN w{steps} USING (token) GROUP BY ALL),
 sc AS (SELECT d.doc_id, c.label, coalesce(s, 0) AS jll FROM documents d CROSS JOIN cls c
