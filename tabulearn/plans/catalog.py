@@ -118,6 +118,18 @@ def whitespace_source(spark, d):
     return rounded(prep.impute_mean(lines.parse_labeled_ws(rows, 3, keep=LINE), cols), **{c: 8 for c in cols})
 
 
+@query
+def bad_lines(spark, d):
+    """Lines with a field missing or a word in it stand beside those that fit, counted per line number."""
+    fields = [F.col(c).cast("string") for c in [*S.X3, "l_extendedprice"]]
+    short = F.concat_ws("\t", *fields[:3])
+    worded = F.concat_ws("\t", fields[0], F.lit("n/a"), *fields[2:])
+    value = F.when(F.col("l_orderkey") % 7 == 0, short).when(F.col("l_orderkey") % 11 == 0, worded).otherwise(F.concat_ws("\t", *fields))
+    rows = lines.parse_labeled_tsv(lineitem(spark, d).select("l_linenumber", value.alias("value")), 3, keep=["l_linenumber"], bad="line")
+    out = rows.groupBy("l_linenumber").agg(F.count("line").alias("bad"), F.count("label").alias("good"), F.count_if(F.size(F.split("line", "\t")) == 3).alias("short"), F.sum("f0").alias("quantity"))
+    return rounded(out, quantity=4)
+
+
 @query
 def pixel_source(spark, d):
     pixels = F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 1000), F.lit(256)).cast("string"))

@@ -72,6 +72,11 @@ SELECT * FROM c WHERE token IN (SELECT token FROM c GROUP BY token HAVING count(
 SQL["tsv_source"] = f"""
 SELECT {KEYS}, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_extendedprice AS label FROM lineitem"""
 
+SQL["bad_lines"] = f"""
+SELECT l_linenumber, count(*) FILTER (l_orderkey % 7 = 0 OR l_orderkey % 11 = 0) AS bad, count(*) FILTER (l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0) AS good,
+  count(*) FILTER (l_orderkey % 7 = 0) AS short, {r0('sum(l_quantity) FILTER (l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0)', 4, 'quantity')}
+FROM lineitem GROUP BY l_linenumber"""
+
 _ws = dict(zip(["f0", "f1", "f2", "label"], [*S.X3, "l_extendedprice"]))
 SQL["whitespace_source"] = f"""
 SELECT {KEYS}, {', '.join(r0(f'CASE {c} WHEN 0 THEN (SELECT avg({c}) FROM lineitem) ELSE {c} END', 8, n) for n, c in _ws.items())}
