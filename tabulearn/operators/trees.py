@@ -145,51 +145,70 @@ def grow(table: DataFrame, features: list, sums: list, criterion, root: dict, cu
     around each node's own mean; nodes whose loss that leaves uncertain get it
     from one more job, and those of equal targets are known by minimum and maximum.
     """
-    squares = criterion is Variance
     nodes = {1: _node(1, root, criterion)}
-    if squares:
+    if criterion is Variance:
         nodes[1].mean = root["m"]
-        _measure(table, features, nodes, [1])
-    level, depth = [1], 0
+
+    def rows_at(places):
+        return table.withColumn("node", descend(features, nodes, places[0], "long")).filter(F.col("node").isNotNull())
+
+    grow_forest([nodes], rows_at, features, sums, criterion, cuts, max_depth, min_samples, min_impurity, edges)
+    return nodes
+
+
+def grow_forest(forest: list, rows_at, features: list, sums: list, criterion, cuts: dict = None, max_depth: int = None,
+                min_samples: float = 2, min_impurity: float = 0.0, edges: bool = False) -> None:
+    """Grow several trees from their roots, one level of all of them with one job.
+
+    ``rows_at({tree: {heap number: place}})`` gives the training rows in these
+    nodes with ``node``, the node's place; a row may stand in nodes of several trees.
+    """
+    squares = criterion is Variance
+    level, depth = [(t, 1) for t in range(len(forest))], 0
+    if squares:
+        _measure(rows_at, forest, level)
     while max_depth is None or depth < max_depth:
-        open_ids = [i for i in level if nodes[i].size >= min_samples and _impure(nodes[i], min_impurity)]
+        open_ids = [(t, i) for t, i in level if forest[t][i].size >= min_samples and _impure(forest[t][i], min_impurity)]
         if not open_ids:
             break
-        rows = _in_nodes(table, features, nodes, open_ids, squares)
+        rows = _in_nodes(rows_at, forest, open_ids, squares)
         level, unsure = [], []
         for r in best_splits(rows, features, criterion, sums, cuts, edges).collect():
-            node = nodes[open_ids[r["node"]]]
+            t, i = open_ids[r["node"]]
+            nodes, node = forest[t], forest[t][i]
             node.feature, node.point = r["feature"], r["point"]
             left = {s: r[f"c_{s}"] for s in sums}
             right = {s: r[f"t_{s}"] - r[f"c_{s}"] for s in sums}
-            for child, stats in ((2 * node.id, left), (2 * node.id + 1, right)):
+            for child, stats in ((2 * i, left), (2 * i + 1, right)):
                 nodes[child] = _node(child, stats, criterion)
-                level.append(child)
+                level.append((t, child))
                 if squares:
                     nodes[child].mean = node.mean + stats["s"] / stats["n"]
                     if nodes[child].loss <= CANCELLED * stats["q"]:
-                        unsure.append(child)
+                        unsure.append((t, child))
         if unsure:
-            _measure(table, features, nodes, sorted(unsure))
+            _measure(rows_at, forest, sorted(unsure))
         level.sort()
         depth += 1
-    return nodes
 
 
-def _in_nodes(table, features, nodes, ids, squares):
+def _in_nodes(rows_at, forest, ids, squares):
     """The rows of these nodes with ``node``, the node's place in the list."""
-    here = descend(features, nodes, {i: k for k, i in enumerate(ids)}, "long")
-    rows = table.withColumn("node", here).filter(F.col("node").isNotNull())
-    return centred(rows, F.get(literal_array([nodes[i].mean for i in ids]), F.col("node").cast("int"))) if squares else rows
+    places = {}
+    for k, (t, i) in enumerate(ids):
+        places.setdefault(t, {})[i] = k
+    rows = rows_at(places)
+    return centred(rows, F.get(literal_array([forest[t][i].mean for t, i in ids]), F.col("node").cast("int"))) if squares else rows
 
 
-def _measure(table, features, nodes, ids):
+def _measure(rows_at, forest, ids):
     """Mean and loss of these nodes from their rows; exactly zero if all targets are equal."""
-    found = _in_nodes(table, features, nodes, ids, True).groupBy("node").agg(
+    found = _in_nodes(rows_at, forest, ids, True).groupBy("node").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
         F.min("m").alias("low"), F.max("m").alias("high"), F.max("w").alias("w"))
     for r in found.collect():
-        node = nodes[ids[r["node"]]]
+        t, i = ids[r["node"]]
+        node = forest[t][i]
         if r["low"] == r["high"] and r["w"] == 0:
             node.mean, node.loss = r["low"], 0.0
         else:

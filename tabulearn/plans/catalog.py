@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import distinct_labels
 from tabulearn.operators import (
-    boosting, dual_svm, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, node_tables, prep, quasi_newton, sequence, splits, trees)
+    boosting, dual_svm, grids, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, node_tables, prep, quasi_newton, sequence, splits, trees)
 from tabulearn.plans import settings as S
 from tabulearn.session import checkpointed
 from tabulearn.sources import text as lines
@@ -361,6 +361,31 @@ def prune_select(spark, d):
     return rounded(spark.createDataFrame(rows, "step int, r2 double, leaves int, chosen boolean"), r2=8)
 
 
+def shown(found, spark):
+    return rounded(found.table(spark), score=8)
+
+
+@query
+def tree_regress_grid(spark, d):
+    """R2 of every depth and smallest node on the rows that each of three folds holds out."""
+    grid = {"max_depth": S.GRID_DEPTHS, "min_samples": S.GRID_SAMPLES}
+    return shown(grids.tree_regress_grid(lineitem(spark, d), S.X3, "l_extendedprice", grid, "l_orderkey", S.GRID_FOLDS), spark)
+
+
+@query
+def tree_classify_grid(spark, d):
+    """Share of held rows with their own flag, for both criteria and every depth."""
+    grid = {"criterion": ["gini", "entropy"], "max_depth": S.GRID_DEPTHS}
+    return shown(grids.tree_classify_grid(lineitem(spark, d), S.X3, "l_returnflag", grid, "l_orderkey", S.GRID_FOLDS), spark)
+
+
+@query
+def stump_grid(spark, d):
+    """R2 on the held rows after one, two and three rounds of boosted stumps."""
+    rounds = list(range(1, S.ROUNDS + 1))
+    return shown(grids.stump_grid(lineitem(spark, d), S.X3, "l_extendedprice", rounds, "l_orderkey", S.GRID_FOLDS), spark)
+
+
 # ---- boosting ----
 
 def price_stumps(df):

@@ -419,6 +419,72 @@ SELECT {k + 1}::INTEGER AS round, node AS node_id, node // 2 AS parent_id, {NAME
   {r0('v', 1, 'impurity')}, n AS samples, {r0(shifted(k, 'm'), 4, 'value')} FROM g{k}n""" for k in range(2))
 SQL["boosted_trees_predict"] = BOOSTED + f" SELECT {KEYS}, {r0(f'score + {MEAN_PRICE}', 4, 'prediction')} FROM q2"
 
+# ---- grids: each fold's tree is grown on its own rows, the held rows walk it ----
+
+def held_walk(p, src, depth):
+    """<p>v<k>: the rows of ``src`` with their node after k levels of the tree <p>."""
+    parts = [f"{p}v0 AS (SELECT *, 1::BIGINT AS node FROM {src})"]
+    for k in range(depth):
+        parts.append(f"""{p}v{k + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node
+    WHEN [f0, f1, f2][b.f + 1] <= b.p THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM {p}v{k} r LEFT JOIN {p}b{k} b USING (node))""")
+    return parts
+
+
+def folded(f, src="x"):
+    return [f"x{f} AS (SELECT * FROM {src} WHERE l_orderkey % {S.GRID_FOLDS} <> {f})", f"y{f} AS (SELECT * FROM {src} WHERE l_orderkey % {S.GRID_FOLDS} = {f})"]
+
+
+def tree_grid():
+    parts, out = [source(CENTRED)], []
+    for f in range(S.GRID_FOLDS):
+        t = Tree(f"u{f}", f"x{f}", 3, 2)
+        parts += [*folded(f), *t.parts, t.nodes(PRICE_STATS), *held_walk(f"u{f}", f"y{f}", 2)]
+        for depth in S.GRID_DEPTHS:
+            for least in S.GRID_SAMPLES:
+                first = "if(v.node < 4, v.node, v.node // 2)"
+                at = first if depth == 1 else f"CASE WHEN (SELECT n FROM u{f}n a WHERE a.node = {first}) >= {least} THEN v.node ELSE {first} END"
+                at = f"CASE WHEN (SELECT n FROM u{f}n WHERE node = 1) >= {least} THEN {at} ELSE 1 END"
+                out.append(f"""
+SELECT {depth}::INTEGER AS max_depth, {least}::DOUBLE AS min_samples, {f}::INTEGER AS fold, {r0('1 - sum((y - m) * (y - m)) / (var_pop(y) * count(*))', 8, 'score')}
+FROM (SELECT v.y, {at} AS node FROM u{f}v2 v) JOIN u{f}n USING (node)""")
+    return with_(*parts) + " UNION ALL ".join(out)
+
+
+def class_grid():
+    parts, out = [source(label="l_returnflag")], []
+    for f in range(S.GRID_FOLDS):
+        parts += folded(f)
+        for kind in ("gini", "entropy"):
+            p = f"{kind}{f}"
+            t = Tree(p, f"x{f}", 3, 2, True, 3, kind)
+            parts += [*t.parts, t.nodes(", ".join(f"count(*) FILTER (c = {i}) AS k{i}" for i in range(3))), *held_walk(p, f"y{f}", 2)]
+            for depth in S.GRID_DEPTHS:
+                out.append(f"""
+SELECT '{kind}' AS criterion, {depth}::INTEGER AS max_depth, {f}::INTEGER AS fold,
+  {r0('avg((c = list_position([k0, k1, k2], greatest(k0, k1, k2)) - 1)::INTEGER)', 8, 'score')} FROM {p}v{depth} JOIN {p}n USING (node)""")
+    return with_(*parts) + " UNION ALL ".join(out)
+
+
+def boosted_grid(rounds):
+    parts, out = [source(CENTRED)], []
+    for f in range(S.GRID_FOLDS):
+        mean = f"(SELECT avg(y) FROM x{f})"
+        parts += [*folded(f), f"w{f}_0 AS (SELECT * REPLACE (y - {mean} AS y) FROM x{f})", f"h{f}_0 AS (SELECT *, {mean} AS score FROM y{f})"]
+        for k in range(rounds):
+            p = f"g{f}_{k}"
+            t = Tree(p, f"w{f}_{k}", 3, 1, edges=False)
+            parts += [*t.parts, t.nodes(PRICE_STATS), *held_walk(p, f"h{f}_{k}", 1),
+                      f"w{f}_{k + 1} AS (SELECT r.* EXCLUDE (node, y), y - m AS y FROM {t.leaf} r JOIN {p}n USING (node))",
+                      f"h{f}_{k + 1} AS (SELECT r.* EXCLUDE (node, score), score + m AS score FROM {p}v1 r JOIN {p}n USING (node))"]
+            out.append(f"""
+SELECT {k + 1}::INTEGER AS n_estimators, {f}::INTEGER AS fold, {r0('1 - sum((y - score) * (y - score)) / (var_pop(y) * count(*))', 8, 'score')} FROM h{f}_{k + 1}""")
+    return with_(*parts) + " UNION ALL ".join(out)
+
+
+SQL["tree_regress_grid"] = tree_grid()
+SQL["tree_classify_grid"] = class_grid()
+SQL["stump_grid"] = boosted_grid(S.ROUNDS)
+
 SIGNED = "if(l_linestatus = (SELECT max(l_linestatus) FROM lineitem), 1.0, -1.0)::DOUBLE"
 SQL["gbdt_gradient"] = f"""
 SELECT {KEYS}, {r0('s / (1 + exp(s * l_tax))', 8, 'gradient')} FROM (SELECT *, {SIGNED} AS s FROM lineitem)"""

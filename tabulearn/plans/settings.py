@@ -5,6 +5,9 @@ X4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 ROUNDS = 3
 GBDT_RATE = 0.1
+GRID_FOLDS = 3
+GRID_DEPTHS = [1, 2]
+GRID_SAMPLES = [2, 12000]
 
 STEPS = 3
 UPDATES = 5
