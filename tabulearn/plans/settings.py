@@ -30,3 +30,5 @@ SYMBOLS = ("click", "error", "purchase", "signup", "view")
 HMM_START = [0.2, 0.4, 0.4]
 HMM_TRANS = [[0.5, 0.2, 0.3], [0.3, 0.5, 0.2], [0.2, 0.3, 0.5]]
 HMM_EMIT = [[0.1, 0.2, 0.3, 0.2, 0.2], [0.3, 0.1, 0.1, 0.2, 0.3], [0.2, 0.2, 0.2, 0.3, 0.1]]
+
+WIDE = 5000

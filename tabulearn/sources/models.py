@@ -16,7 +16,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulearn.operators import boosting, dual_svm, kernels, linear, maxent, mixture, naive_bayes, node_tables, quasi_newton, sequence, trees
+from tabulearn.operators import boosting, dual_svm, kernels, linear, maxent, mixture, naive_bayes, node_tables, quasi_newton, sequence, trees, wide_pca
 from tabulearn.session import ensure_checkpoint_dir
 
 KINDS = {
@@ -29,6 +29,7 @@ KINDS = {
     "maxent": maxent.MaxentModel, "maxent_newton": quasi_newton.Fit,
     "svm_primal": kernels.LinearSvm, "svm_dual": dual_svm.DualModel,
     "coins": mixture.CoinModel, "gaussian_mixture": mixture.MixtureModel, "hmm": sequence.HmmParams,
+    "wide_pca": wide_pca.WidePca,
 }
 NAMES = {cls: kind for kind, cls in KINDS.items()}
 

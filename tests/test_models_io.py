@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulearn.operators import boosting, dual_svm, kernels, linear, maxent, mixture, naive_bayes, node_tables, quasi_newton, sequence, trees
+from tabulearn.operators import boosting, dual_svm, kernels, linear, maxent, mixture, naive_bayes, node_tables, quasi_newton, sequence, trees, wide_pca
 from tabulearn.sources.models import KINDS, load_model, save_model
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -84,6 +84,9 @@ def test_other_models_keep_every_number(spark, tmp_path):
     found = again(spark, hmm, tmp_path / "hmm")
     assert found.symbols == hmm.symbols and all(np.array_equal(getattr(found, k), getattr(hmm, k)) for k in ("start", "trans", "emit"))
     x = np.array([[0.0, 1.0], [2.0, 0.5], [3.0, 3.0], [0.2, 0.1]])
+    pca = wide_pca.wide_pca_fit(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>"), "x", 1)
+    found = again(spark, pca, tmp_path / "pca")
+    assert np.array_equal(found.components, pca.components) and (found.features, found.passes, found.sparse) == ("x", pca.passes, False)
     df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, x array<double>, y int")
     svm = dual_svm.dual_linear_fit(df, "x", "y", "id")
     found = again(spark, svm, tmp_path / "svm")
