@@ -34,6 +34,7 @@ class Training:
     sums: list
     totals: dict
     cuts: dict = field(default_factory=dict)
+    distinct: int = 0  # of the keys, about
 
     def release(self):
         self.table.unpersist()
@@ -73,7 +74,7 @@ def prepare(df: DataFrame, features: list, keys: list, stats: dict, collapse_row
     cuts = {}
     if row["_distinct"] > max_distinct:
         cuts = quantile_cuts(table, features, max_distinct, buckets)
-    return Training(table, list(features), list(stats), {s: row[s] for s in [*stats, *(["m"] if target else [])]}, cuts)
+    return Training(table, list(features), list(stats), {s: row[s] for s in [*stats, *(["m"] if target else [])]}, cuts, row["_distinct"])
 
 
 def centred(table: DataFrame, centre: Column) -> DataFrame:

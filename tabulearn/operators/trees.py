@@ -16,6 +16,7 @@ from tabulearn.operators.prep import split_by_key
 from tabulearn.operators.splits import ClassCounts, Variance, best_splits, centred, prepare
 
 INLINE_NODES = 64
+HELD_NODES = 4096  # of a tree in the driver; one that may get more has its nodes in a table
 # A child's loss below this share of its sum of squares around its parent's mean is taken again around its own.
 CANCELLED = 1e-6
 
@@ -230,25 +231,48 @@ def prepare_regression(df: DataFrame, features: list, target: str, **options):
     return data, data.totals["m"]
 
 
+def _may_hold(data, max_depth: int, held: int) -> bool:
+    """Whether the tree has at most ``held`` nodes, by its depth or the number of distinct feature vectors."""
+    return held is None or 2 * data.distinct <= held or max_depth is not None and max_depth < held.bit_length() - 1
+
+
 def tree_regress_fit(df: DataFrame, features: list, target: str, max_depth: int = None, min_samples: int = 2,
-                     edges: bool = True, **options) -> Tree:
-    """Least-squares tree; without ``max_depth`` it grows until its leaves are pure or cannot be improved."""
+                     edges: bool = True, held: int = HELD_NODES, **options):
+    """Least-squares tree; without ``max_depth`` it grows until its leaves are pure or cannot be improved.
+
+    A ``Tree``, or a ``NodeTree`` if it may get more than ``held`` nodes; None: always a ``Tree``.
+    """
     data, mean = prepare_regression(df, features, target, **options)
-    nodes = grow(data.table, features, ["n", "s", "q"], Variance, data.totals, data.cuts, max_depth, min_samples, edges=edges)
+    if _may_hold(data, max_depth, held):
+        nodes = grow(data.table, features, ["n", "s", "q"], Variance, data.totals, data.cuts, max_depth, min_samples, edges=edges)
+        tree = Tree(list(features), nodes, {i: n.mean for i, n in nodes.items()}, shift=mean)
+    else:
+        from tabulearn.operators import node_tables
+
+        rule = node_tables.Rule(list(features), Variance, ["n", "s", "q"], max_depth=max_depth, min_samples=min_samples, edges=edges)
+        tree = node_tables.grow_tables(data.table, rule, mean, data.cuts)
     data.release()
-    return Tree(list(features), nodes, {i: n.mean for i, n in nodes.items()}, shift=mean)
+    return tree
 
 
 def tree_classify_fit(df: DataFrame, features: list, label: str, criterion: str = "gini", min_samples: int = 2,
-                      min_impurity: float = 0.0, max_depth: int = None, edges: bool = True, **options) -> Tree:
-    """Gini or entropy tree; leaf values are the class counts."""
+                      min_impurity: float = 0.0, max_depth: int = None, edges: bool = True, held: int = HELD_NODES, **options):
+    """Gini or entropy tree; leaf values are the class counts. A ``NodeTree``, which keeps the label, beyond ``held`` nodes."""
     classes = distinct_labels(df, label)
     rule = ClassCounts(criterion, len(classes))
     stats = {k: F.when(F.col(label) == F.lit(c), 1.0).otherwise(0.0) for k, c in zip(rule.names, classes)}
     data = prepare(df, features, [], stats, **options)
-    nodes = grow(data.table, features, data.sums, rule, data.totals, data.cuts, max_depth, min_samples, min_impurity, edges)
+    if _may_hold(data, max_depth, held):
+        nodes = grow(data.table, features, data.sums, rule, data.totals, data.cuts, max_depth, min_samples, min_impurity, edges)
+        tree = Tree(list(features), nodes, {i: [n.stats[k] for k in rule.names] for i, n in nodes.items()}, classes)
+    else:
+        from tabulearn.operators import node_tables
+
+        tables = node_tables.Rule(list(features), rule, rule.names, len(classes), False, max_depth, min_samples, min_impurity, edges)
+        tree = node_tables.grow_tables(data.table, tables, 0.0, data.cuts)
+        tree.classes = classes
     data.release()
-    return Tree(list(features), nodes, {i: [n.stats[k] for k in rule.names] for i, n in nodes.items()}, classes)
+    return tree
 
 
 def prune_sequence(tree: Tree) -> list:
@@ -327,5 +351,5 @@ def select_subtree(steps: list, validation: DataFrame, target: str):
 def tree_fit_pruned(df: DataFrame, features: list, target: str, key: str, parts: int = 10, **options) -> Tree:
     """Grow on the training share, prune, keep the subtree best on the held share."""
     train, held = split_by_key(df, key, parts)
-    _, best = select_subtree(prune_sequence(tree_regress_fit(train, features, target, **options)), held, target)
+    _, best = select_subtree(prune_sequence(tree_regress_fit(train, features, target, **{"held": None} | options)), held, target)
     return best

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulearn.operators import boosting, node_tables, trees
+from tabulearn.operators.splits import Variance
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,30 @@ def test_many_rows_meet_a_subtree_in_parts(table, monkeypatch):
     want = values(tree.predict(table))
     monkeypatch.setattr(node_tables, "WALKED", 7)
     assert values(tree.predict(table)) == want
+
+
+def test_trees_that_may_be_large_have_their_nodes_in_tables(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(v), float(10 ** (i % 10) + i % 7), "abc"[i % 3]) for i, v in enumerate(np.round(rng.uniform(0, 100, 400), 1))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string")
+    for fit, target in ((trees.tree_regress_fit, "y"), (trees.tree_classify_fit, "c")):
+        large, held = fit(df, ["x"], target, held=100), fit(df, ["x"], target, held=None)
+        assert isinstance(large, node_tables.NodeTree) and isinstance(held, trees.Tree)
+        assert isinstance(fit(df, ["x"], target, held=100, max_depth=4), trees.Tree)
+        want = {r["id"]: r["prediction"] for r in held.predict(df).collect()}
+        got = {r["id"]: r["prediction"] for r in large.predict(df).collect()}
+        assert got == (want if target == "c" else pytest.approx(want, rel=1e-12))
+
+
+def test_nodes_of_a_level_are_split_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, calls, plain = 5000, [], node_tables.losses
+    monkeypatch.setattr(node_tables, "losses", lambda *a: calls.append(1) or plain(*a))
+    x = rng.uniform(0, 1, (n, 1))
+    stats = {"n": np.ones(n), "m": rng.integers(0, 50, n).astype(float), "w": np.zeros(n)}
+    tree = node_tables.grow_rows(node_tables.Rule(["x"], Variance, ["n", "s", "q"]), x, stats, 0)
+    at = np.zeros(n, int)
+    while (tree["left"][at] >= 0).any():
+        at = np.where(tree["left"][at] >= 0, tree["left"][at] + (x[:, 0] > tree["point"][at]), at)
+    assert (tree["value"][at] == stats["m"]).all()
+    assert len(calls) * 5 < len(tree["left"])
