@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabulearn.functions import tables
-from tabulearn.operators import boosting, kernels, linear, maxent, metrics, naive_bayes, neighbors, prep, sequence, splits, trees
+from tabulearn.operators import boosting, kernels, linear, maxent, metrics, naive_bayes, neighbors, prep, quasi_newton, sequence, splits, trees
+from tabulearn.session import laid_out
 
 
 @pytest.fixture(scope="module")
@@ -182,3 +183,43 @@ def test_forward_equals_backward(states, obs, seed):
     beta, logs = sequence.backward(p, codes, lengths, [None] * len(obs))
     first = np.log((p.start * p.emit[:, codes[:, 0]].T * beta[:, 0]).sum(1)) + logs[:, 0]
     assert np.allclose(scale.sum(1), first)
+
+
+def test_tasks_of_word_counts_follow_the_bytes(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(30)), "xy"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string, y string").repartition(3).cache()
+    plain = [sorted(map(tuple, c.collect())) for c in (prep.bag_of_words(df, "id", "text", min_df=2), prep.char_ngrams(df, "id", "text", min_df=2))]
+    monkeypatch.setattr(prep, "TEXT_BYTES", 2000)
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 0)
+    bytes_of = sum(len(r[1]) for r in rows)
+    small = [prep.bag_of_words(df, "id", "text", min_df=2), prep.char_ngrams(df, "id", "text", min_df=2)]
+    assert small[0].rdd.getNumPartitions() >= bytes_of // 2000 and small[1].rdd.getNumPartitions() >= 3 * bytes_of // 2000
+    assert [sorted(map(tuple, c.collect())) for c in small] == plain
+
+
+def test_large_token_tables_are_not_repeated(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 0)
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(30)), "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, y string")
+    counts = laid_out(prep.bag_of_words(df, "id", "text", ["y"], min_df=2))
+    model = naive_bayes.multinomial_nb_fit(df, counts, "y")
+    plan = model.score(df.select("id"), counts, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan and "Generate explode" not in plan
+    assert plan.count("Exchange hashpartitioning(token") == 1  # of the model; the counts lie where they are
+
+
+@pytest.mark.parametrize("task_rows", [50, 10**6])
+def test_layouts_of_counts_change_no_fit(spark, monkeypatch, task_rows):
+    rows = [(i, "the the " + ("cat sat" if i % 2 else "dog ran off") + f" w{i % 7}", "xy"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, y string")
+    counts = prep.bag_of_words(df, "id", "text", ["y"], min_df=2)
+    want = [r["weight"] for r in maxent.maxent_fit(df, counts, "id", "y", max_iter=3, eps=0.0).table().orderBy("token", "label").collect()]
+    newton = [r["weight"] for r in quasi_newton.token_newton_fit(df, counts, "id", "y", max_iter=2, eps=0.0).table().orderBy("token", "label").collect()]
+    for module in (maxent, quasi_newton):
+        monkeypatch.setattr(module, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    lying = laid_out(counts.repartition(5, "token"))
+    assert [r["weight"] for r in maxent.maxent_fit(df, lying, "id", "y", max_iter=3, eps=0.0).table().orderBy("token", "label").collect()] == pytest.approx(want)
+    got = quasi_newton.token_newton_fit(df, lying, "id", "y", max_iter=2, eps=0.0, broadcast_rows=0).table()
+    assert [r["weight"] for r in got.orderBy("token", "label").collect()] == pytest.approx(newton)
