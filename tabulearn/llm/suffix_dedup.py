@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import forget, utf8_buffer
+from tabulearn.llm.frames import given_back, utf8_buffer
 from tabulearn.session import checkpointed
 
 REACH = 160
@@ -211,8 +211,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     """(id, mark, s, e): byte ranges covered by repeated strings, some per document, overlapping."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    @given_back
     def parse(batches):
-        forget()
         constants = mixing_constants(TILE + span + GRAM)
         for batch in batches:
             flat, offsets = utf8_buffer(batch.column("text"))
@@ -222,8 +222,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(key), places], ["id", "mark", "key", "places"])
 
+    @given_back
     def places_of_keys(batches):
-        forget()
         constants = mixing_constants(TILE + span + GRAM)
         for batch in batches:
             for _, _, _, _, key in triggers(*utf8_buffer(batch.column("text")), span, constants):
@@ -239,8 +239,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     salt = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     found = found.select("id", "mark", "key", "places", salt.alias("salt")).join(counts, ["key", "salt"])
 
+    @given_back
     def cut(batches):
-        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 found = batch.column("found").slice(i, 1).flatten()
@@ -264,8 +264,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
         with_text = docs.join(listed, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))).select("id", "mark", "text", "row", "found")
         return with_text.mapInArrow(cut, f"id {kind}, mark long, key long, low int, high int, at array<long>, context binary")
 
+    @given_back
     def order(batches):
-        forget()
         for table in (part for table in whole_groups(batches, ORDER_ROWS) for part in parted(table, ORDER_ROWS)):
             low, high = table.column("low").to_numpy().astype(np.int64), table.column("high").to_numpy().astype(np.int64)
             near, far = repeated_starts(table.column("key").to_numpy(), table.column("context").to_pylist(), low, high, span)
@@ -282,8 +282,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
 
     spans = contexts(F.col("places_of_key") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark long, s long, e long")
 
+    @given_back
     def every_start(batches):
-        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 context, low, high, places = (batch.column(c)[i].as_py() for c in ("context", "low", "high", "at"))
@@ -354,8 +354,8 @@ def remove_repeats(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_
     both lose what they share, even if their ids are equal. Texts shorter than ``span`` stay as they are.
     """
 
+    @given_back
     def finish(batches):
-        forget()
         for batch in batches:
             rows = []
             for text, gone in gaps(batch):
@@ -380,8 +380,8 @@ def cleaned_rows(df: DataFrame, span: int = 200, id_col: str = "doc_id", text_co
     """
     joined = with_spans(df, span, id_col, text_col)
 
+    @given_back
     def finish(batches):
-        forget()
         for batch in batches:
             text = [b"".join(kept_parts(text, gone)).decode("utf-8", "ignore") for text, gone in gaps(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], ["row", "kept"])
