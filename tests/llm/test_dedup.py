@@ -289,3 +289,14 @@ def test_recall_at_the_threshold():
 def test_columns_are_long(spark, docs):
     assert dict(simhash.near_duplicates(docs(["a"])).dtypes)["component_id"] == "bigint"
     assert dict(suffix_dedup.remove_repeats(docs(["a"])).select(F.col("n_spans")).dtypes)["n_spans"] == "bigint"
+
+
+def test_a_task_gives_back_its_memory_when_it_ends(monkeypatch):
+    from tabulearn.llm import frames
+
+    seen = []
+    monkeypatch.setattr(frames, "forget", lambda: seen.append("forget"))
+    run = frames.given_back(lambda batches: (b + 1 for b in batches))
+    for b in run([1, 2]):
+        seen.append(b)
+    assert seen == ["forget", 2, 3, "forget"]
