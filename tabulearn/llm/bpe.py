@@ -4,7 +4,7 @@ A pre-token ("word") is held as a contiguous array of its parts and the rank of
 scanned for the smallest rank, the boundary inside that pair is deleted, and the ranks of the two neighbouring pairs
 are refreshed, until no pair has a rank. All new words of a block with about equal length are worked on together, one row
 of a matrix each. Words longer than the last of ``WIDTHS`` bytes, where repeated scans would be quadratic, use a heap
-instead. A worker keeps the words it has met lately, two generations of ``KNOWN``.
+instead. A task keeps the words it has met lately, two generations of ``KNOWN``.
 """
 
 import hashlib
@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabulearn.llm.frames import blocks, chunks, held
+from tabulearn.llm.frames import blocks, chunks, held, text_lists, trimmed
 
 WIDTHS = (8, 16, 64)
 KNOWN = 80_000
@@ -241,14 +241,17 @@ class Splitter:
 
 
 class Encoder:
-    """Per worker: what ``keeps`` make of the ids of the words met lately, one table for each."""
+    """What ``keeps`` make of the ids of the words met lately, one table for each."""
 
     def __init__(self, vocab: Vocabulary, *keeps, fixed=()):
         self.vocab, self.keeps, self.splitter = vocab, keeps, Splitter(vocab)
         self.fixed = [{text: keep([i]) for text, i in vocab.special.items()} for keep in keeps]
         for table, more in zip(self.fixed, fixed):
             table.update(more)
-        self.known, self.old = [dict(t) for t in self.fixed], [{} for _ in keeps]
+        self.reset()
+
+    def reset(self):
+        self.known, self.old = [dict(t) for t in self.fixed], [{} for _ in self.keeps]
 
     def learn(self, words: set) -> list:
         """The tables, with these words in them."""
@@ -325,7 +328,7 @@ def digests(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text"
         encoder = held(call, lambda: digest_encoder(vocab.value))
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
-            for blocks_of in encoder.texts(texts_of(batch)):
+            for blocks_of in (found for texts in text_lists(batch.column(1), BLOCK_CHARS) for found in encoder.texts(texts)):
                 n, gap, a, b = 0, "", hashlib.sha256(), hashlib.sha256()
                 for ids, text in blocks_of:
                     ids = gap + " ".join(ids)
@@ -339,6 +342,9 @@ def digests(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        # The words go with the task: more workers than cores wait in an executor, and each would keep its own.
+        encoder.reset()
+        trimmed()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,14 +7,12 @@ backpropagation through time in numpy on a bounded sample of labelled rows: at m
 and ``PIECE`` consecutive characters of each.
 """
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulearn.llm.frames import blocks, chunks, held, thinned
+from tabulearn.llm.frames import blocks, chunks, given_back, text_lists, thinned
 
 DOCS = 300
 PIECE = 3000
@@ -172,7 +170,7 @@ def split_words(text: str) -> list:
 
 
 class Tagger:
-    """Per worker: the network and the sums of the words met lately."""
+    """Per task: the network and the sums of the words met lately."""
 
     def __init__(self, net: BiGru):
         self.net = net
@@ -211,6 +209,11 @@ class Tagger:
             for text, words in zip(part, split):
                 yield self.verdict(text, self.pooled(words) if words else None)
 
+    def labels(self, column: pa.Array):
+        """(language, score) of each row of a text column."""
+        for texts in text_lists(column, BLOCK_CHARS):
+            yield from self.label(texts)
+
     def verdict(self, text: str, total) -> tuple[str, float]:
         if total is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
@@ -241,12 +244,12 @@ def predict(df: DataFrame, net, id_col: str = "doc_id", text_col: str = "text")
     Null, empty and blank texts and those without a letter are "und" with score 0, as are all if no language was
     learned. Equal shares go to the language that comes first. Whole texts are read, however long.
     """
-    call = uuid.uuid4().hex
 
+    @given_back
     def run(batches):
-        tagger = held(call, lambda: Tagger(net.value))
+        tagger = Tagger(net.value)
         for batch in batches:
-            found = list(tagger.label(batch.column(1).fill_null("").to_pylist()))
+            found = list(tagger.labels(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                                              [id_col, "lang_pred", "score"])
 
@@ -256,12 +259,12 @@ def predict(df: DataFrame, net, id_col: str = "doc_id", text_col: str = "text")
 
 def accepted(df: DataFrame, net, least: float = 0.35, text_col: str = "text") -> DataFrame:
     """The rows whose text has a language with a score of at least ``least``, with their columns."""
-    call = uuid.uuid4().hex
 
+    @given_back
     def run(batches):
-        tagger = held(call, lambda: Tagger(net.value))
+        tagger = Tagger(net.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("").to_pylist()
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in tagger.label(texts)], pa.bool_()))
+            found = tagger.labels(batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

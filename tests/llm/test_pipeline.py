@@ -1,5 +1,10 @@
+import types
+
+import pyarrow as pa
+
 import corpus_pipeline
-from tabulearn.llm import bpe, language_id, mixing, simhash, suffix_dedup
+from tabulearn.llm import bpe, frames, language_id, mixing, simhash, suffix_dedup
+from tabulearn.llm.queries import vocabulary
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,3 +43,39 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_stages_keep_no_words_after_a_task(monkeypatch):
+    words = " ".join(f"w{i}ord" for i in range(3000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [words, None]})
+    made, runs = [], []
+
+    class Frame:
+        schema = {"doc_id": types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "bigint"))}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    for module, name in ((language_id, "Tagger"), (bpe, "digest_encoder")):
+        make = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args, make=make: made.append(make(*args)) or made[-1])
+    net = types.SimpleNamespace(value=language_id.BiGru(["de", "en"]))
+    vocab = types.SimpleNamespace(value=vocabulary())
+    language_id.accepted(Frame(), net)
+    language_id.predict(Frame(), net)
+    bpe.digests(Frame(), vocab)
+    for run in runs:
+        assert sum(b.num_rows for b in run(iter([batch]))) >= 1
+    *taggers, encoder = made
+    assert len(taggers) == 2 and not any(kept in taggers for kept in frames.HELD.values())
+    assert len(encoder.known[0]) == len(encoder.fixed[0]) and not encoder.old[0]
+
+
+def test_batches_become_strings_in_parts():
+    column = pa.array(["ab", None, "c" * 9, "", "d", "ü" * 4])
+    parts = list(frames.text_lists(column, 10))
+    assert parts == [["ab", ""], ["c" * 9, "", "d"], ["ü" * 4]]
+    assert list(frames.text_lists(pa.array([], pa.string()), 10)) == []
