@@ -209,6 +209,20 @@ def test_large_token_tables_are_not_repeated(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(token") == 1  # of the model; the counts lie where they are
 
 
+def test_counts_are_not_sorted_to_meet_tokens(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 0)
+    rows = [(i, "hot " + " ".join(f"w{(i * 7 + j) % 90}" for j in range(30)), "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, y string")
+    bag = prep.bag_of_words(df, "id", "text", ["y"], min_df=2)
+    counts = laid_out(bag)
+    model = naive_bayes.multinomial_nb_fit(df, counts, "y")
+    for made in (bag, model.score(df.select("id"), counts, "id"), maxent.maxent_fit(df, counts, "id", "y", max_iter=1).score(df, counts, "id")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert bag.filter("token = 'hot'").count() == 60
+
+
 @pytest.mark.parametrize("task_rows", [50, 10**6])
 def test_layouts_of_counts_change_no_fit(spark, monkeypatch, task_rows):
     rows = [(i, "the the " + ("cat sat" if i % 2 else "dog ran off") + f" w{i % 7}", "xy"[i % 2]) for i in range(40)]
