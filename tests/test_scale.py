@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulearn.functions import tables
 from tabulearn.operators import boosting, dual_svm, kernels, linear, maxent, metrics, naive_bayes, neighbors, prep, quasi_newton, sequence, splits, trees
+from tabulearn.plans import catalog
 from tabulearn.session import laid_out
 
 
@@ -223,6 +224,32 @@ def test_counts_are_not_sorted_to_meet_tokens(spark, monkeypatch):
     assert bag.filter("token = 'hot'").count() == 60
 
 
+def test_words_of_distinct_rows_are_counted_by_batch(spark):
+    rows = [(1, "a", "The the Ünï_1 x yy"), (2, None, None), (3, "b", ""), (4, "b", "yy YY zz ǅa 𝒜𝒜 𝒜"), (None, "c", "pp pp")]
+    want = [(1, "a", "the", 2), (1, "a", "yy", 1), (1, "a", "ünï_1", 1), (4, "b", "yy", 2), (4, "b", "zz", 1), (4, "b", "ǆa", 1), (4, "b", "𝒜𝒜", 1), (None, "c", "pp", 2)]
+    more = [(4, "b", "zz yy"), (4, "d", "zz")]
+
+    def run(rows):
+        counts = prep.word_counts(spark.createDataFrame(rows, "id long, y string, text string"), ["id", "y"], "text", 3)
+        return counts._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, counts.collect()), key=str)
+
+    plan, got = run(rows)
+    assert "HashAggregate" not in plan and "Generate" not in plan  # no row of its own for each word
+    assert got == sorted(want, key=str)
+    shared = {r[:3]: r[3] for r in want} | {(4, "b", "zz"): 2, (4, "b", "yy"): 3, (4, "d", "zz"): 1}
+    assert run(rows + more)[1] == sorted([(*k, n) for k, n in shared.items()], key=str)
+
+
+def test_counts_read_once_are_not_written_again(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, catalog.QUERIES["mnb_predict"](spark, d).collect()))
+    monkeypatch.setattr(catalog, "laid_out", lambda df: pytest.fail("written again"))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, catalog.QUERIES["reread_mnb"](spark, d).collect())) == want
+    assert catalog.QUERIES["mnb_params"](spark, d).count() > 0
+
+
 @pytest.mark.parametrize("task_rows", [50, 10**6])
 def test_layouts_of_counts_change_no_fit(spark, monkeypatch, task_rows):
     rows = [(i, "the the " + ("cat sat" if i % 2 else "dog ran off") + f" w{i % 7}", "xy"[i % 2]) for i in range(40)]
