@@ -198,6 +198,26 @@ def test_tasks_of_word_counts_follow_the_bytes(spark, monkeypatch):
     assert [sorted(map(tuple, c.collect())) for c in small] == plain
 
 
+def test_tasks_of_the_vocabulary_are_not_put_together(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j % 20}" for j in range(30))) for i in range(200)]  # each document has words of its own
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3).cache()
+    monkeypatch.setattr(prep, "TEXT_BYTES", 5000)
+    monkeypatch.setattr(prep, "BROADCAST_ROWS", 0)
+    twice, sizes = df.unionByName(df.withColumn("id", F.col("id") + 1000)), []
+    parts = prep.text_parts(twice, "text")
+
+    def within(vocab, *limits):
+        sizes.extend(vocab.rdd.glom().map(len).collect())
+        return tables.within(vocab, *limits)
+
+    monkeypatch.setattr(prep, "within", within)
+    bag = prep.bag_of_words(twice, "id", "text", min_df=2)
+    assert len(sizes) == parts > 10 and sum(sizes) == 4000 and max(sizes) < 4000 // 5
+    plan = bag._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(token") == 1  # of the counts; the vocabulary lies where it is
+    assert bag.count() == 8000
+
+
 def test_large_token_tables_are_not_repeated(spark, monkeypatch):
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(prep, "BROADCAST_ROWS", 0)
