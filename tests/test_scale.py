@@ -244,6 +244,29 @@ def test_counts_are_not_sorted_to_meet_tokens(spark, monkeypatch):
     assert bag.filter("token = 'hot'").count() == 60
 
 
+def test_counts_are_not_sorted_to_meet_labels(spark, monkeypatch):
+    d, fit, seen = "/root/testdata/sf0.001", naive_bayes.bernoulli_nb_fit, []
+    want = sorted(map(tuple, catalog.QUERIES["bnb_params"](spark, d).collect()))
+
+    def watched(docs, counts, label):
+        seen.append((counts._jdf.queryExecution().executedPlan().toString(), counts.groupBy("token").count().rdd.getNumPartitions()))
+        return fit(docs, counts, label)
+
+    monkeypatch.setattr(naive_bayes, "bernoulli_nb_fit", watched)
+    monkeypatch.setattr(catalog, "LABEL_ROWS", 0, raising=False)
+    monkeypatch.setattr(prep, "TEXT_BYTES", 100_000)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, catalog.QUERIES["bnb_params"](spark, d).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan, tasks = seen[0]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert tasks == prep.text_parts(catalog.table(spark, d, "documents"), "text") > 2
+    assert got == want
+
+
 def test_words_of_distinct_rows_are_counted_by_batch(spark):
     rows = [(1, "a", "The the Ünï_1 x yy"), (2, None, None), (3, "b", ""), (4, "b", "yy YY zz ǅa 𝒜𝒜 𝒜"), (None, "c", "pp pp")]
     want = [(1, "a", "the", 2), (1, "a", "yy", 1), (1, "a", "ünï_1", 1), (4, "b", "yy", 2), (4, "b", "zz", 1), (4, "b", "ǆa", 1), (4, "b", "𝒜𝒜", 1), (None, "c", "pp", 2)]
