@@ -293,6 +293,11 @@ def test_counts_read_once_are_not_written_again(spark, monkeypatch):
     assert catalog.QUERIES["mnb_params"](spark, d).count() > 0
 
 
+def test_counts_that_the_fit_alone_reads_are_not_written_again(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "laid_out", lambda df: pytest.fail("written again"))
+    assert catalog.QUERIES["bnb_params"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 @pytest.mark.parametrize("task_rows", [50, 10**6])
 def test_layouts_of_counts_change_no_fit(spark, monkeypatch, task_rows):
     rows = [(i, "the the " + ("cat sat" if i % 2 else "dog ran off") + f" w{i % 7}", "xy"[i % 2]) for i in range(40)]
