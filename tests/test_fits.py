@@ -143,3 +143,12 @@ def test_multipliers_of_rows_far_apart(spark):
     fit = dual_svm.dual_linear_fit(frame(spark, [[-3.0], [-1.0], [1.0], [4.0]], [-1, -1, 1, 1]), "x", "y", "id", C=100.0, tol=1e-6)
     assert sorted((r["sv_id"], round(r["alpha"], 3)) for r in fit.support.collect()) == [(1, 0.5), (2, 0.5)]
     assert fit.w == pytest.approx([1.0], abs=1e-3) and fit.b == pytest.approx(0.0, abs=1e-3)
+
+
+def test_rbf_rounds_do_not_grow_with_the_rows_that_are_wrong(spark):
+    """Unit vectors without structure: nearly all rows end at C, many times as many as move a round."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fit = dual_svm.dual_rbf_fit(frame(spark, x, np.where(rng.random(400) < 0.5, 1, -1)), "x", "y", "id", C=0.5, working=32, max_rounds=45, block=100)
+    assert fit.converged and fit.support.count() > 300
