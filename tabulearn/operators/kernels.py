@@ -1,8 +1,9 @@
 """Kernels, support-vector scoring, margins, and soft-margin fits.
 
 A support table is small by nature, so scoring takes it as one array inside
-each task, after its size is checked. A larger one is divided into tiles: each
-task adds up one tile of rows against one tile of support vectors.
+each task, after its size is checked. A larger one becomes one vector for the
+linear kernel, and else is divided into tiles: each task adds up one tile of
+rows against one tile of support vectors.
 """
 
 import numpy as np
@@ -18,6 +19,7 @@ from tabulearn.session import kept
 
 # Largest support table, in numbers (64 MB), that is copied into every task.
 MAX_INLINE_NUMBERS = 8_000_000
+TILE_NUMBERS = 2_000_000  # of a kernel matrix that a task holds at once
 
 
 def kernel_matrix(x: np.ndarray, s: np.ndarray, kind: str, sigma: float) -> np.ndarray:
@@ -76,15 +78,24 @@ def decision_function(df: DataFrame, support: DataFrame, b: float, id_col: str,
     if max_inline is not None and n_support > max_inline:
         rows = None
     data = df.select(id_col, *keep, feature_array(features).alias("x"))
-    if rows is None:
+    if rows is None and kind == "linear":
+        # The sum of the kernels is the kernel with the sum: no pairs of rows and support vectors.
+        d = table.select(F.size("x")).first()[0]
+        s, w = summed(table, lambda batch: vector(batch.column("weight")) @ matrix(batch.column("x")), d)[None, :], np.ones(1)
+    elif rows is None:
         return _tiled_decision(data, table, n_support, b, id_col, keep, kind, sigma, tile_rows)
-    s = np.array([r["x"] for r in rows], dtype=float)
-    w = np.array([r["weight"] for r in rows], dtype=float)
+    else:
+        s = np.array([r["x"] for r in rows], dtype=float)
+        w = np.array([r["weight"] for r in rows], dtype=float)
+        if kind == "linear":
+            s, w = (w @ s)[None, :], np.ones(1)
+    step = max(1, TILE_NUMBERS // len(s))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                score = kernel_matrix(matrix(batch.column("x")), s, kind, sigma) @ w + b
+                x = matrix(batch.column("x"))
+                score = np.concatenate([kernel_matrix(x[i:i + step], s, kind, sigma) @ w for i in range(0, len(x), step)]) + b
                 kept_columns = [batch.column(c) for c in (id_col, *keep)]
                 yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(score)], [id_col, *keep, "score"])
 

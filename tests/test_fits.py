@@ -152,3 +152,22 @@ def test_rbf_rounds_do_not_grow_with_the_rows_that_are_wrong(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     fit = dual_svm.dual_rbf_fit(frame(spark, x, np.where(rng.random(400) < 0.5, 1, -1)), "x", "y", "id", C=0.5, working=32, max_rounds=45, block=100)
     assert fit.converged and fit.support.count() > 300
+
+
+def test_blocks_are_written_once_and_large_linear_support_meets_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).astype(np.float32).astype(float)
+    df, written = frame(spark, x, np.where(x[:, 0] > 0, 1, -1)), []
+    plain = dual_svm.checkpointed
+    monkeypatch.setattr(dual_svm, "checkpointed", lambda t: written.append(t) or plain(t))
+    rows, _, _ = dual_svm.blocked(df, "x", "y", [-1, 1], "id", 16)
+    assert not written and all(len(r["x"]) == len(r["y"]) // 8 * 5 * 4 + 1 for r in rows.collect())
+    sv = df.selectExpr("id as sv_id", "x", "cast(y as double) as y", "0.25D as alpha")
+    want = [r["score"] for r in kernels.decision_function(df, sv, 0.5, "id", "x", kind="linear").orderBy("id").collect()]
+    assert want == pytest.approx((x @ x.T @ (0.25 * np.where(x[:, 0] > 0, 1, -1)) + 0.5).tolist())
+    monkeypatch.setattr(kernels, "_tiled_decision", lambda *a: pytest.fail("pairs"))
+    got = kernels.decision_function(df, sv, 0.5, "id", "x", kind="linear", max_inline=5).orderBy("id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want)
+    monkeypatch.setattr(kernels, "TILE_NUMBERS", 100)
+    rbf = kernels.decision_function(df, sv, 0.0, "id", "x").orderBy("id").collect()
+    assert [r["score"] for r in rbf] == pytest.approx((kernels.kernel_matrix(x, x, "rbf", 1.0) @ (0.25 * np.where(x[:, 0] > 0, 1, -1))).tolist())
