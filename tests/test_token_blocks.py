@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabulearn.operators import maxent, prep, token_blocks
+from tabulearn.operators import maxent, prep, quasi_newton, token_blocks
 from tabulearn.plans import catalog
 from tabulearn.session import laid_out
 
@@ -54,3 +54,21 @@ def test_a_fit_read_back_or_streamed_takes_all_steps(docs):
     counts = laid_out(prep.bag_of_words(docs.select("id", "text", "y"), "id", "text", ["y"], min_df=2))
     model = catalog.whole_maxent(docs.selectExpr("id as doc_id", "y as lang"), counts.selectExpr("id as doc_id", "y as lang", "token", "n"))
     assert model.iterations == 200
+
+
+@pytest.mark.parametrize("sent", [0, None])
+def test_quasi_newton_steps_read_packed_counts_and_give_back_their_files(docs, monkeypatch, sent):
+    calls, plain = [], quasi_newton.released
+    monkeypatch.setattr(quasi_newton, "released", lambda spark: calls.append(1) or plain(spark))
+    counts = prep.bag_of_words(docs, "id", "text", ["y"], min_df=2)
+    packed = token_blocks.pack(counts, "id", 3, "y", ["x", "y"])
+    fit = quasi_newton.token_newton_fit(docs, packed, "id", "y", max_iter=3, eps=0.0, broadcast_rows=sent)
+    assert len(calls) == fit.iterations == 3
+    rows, tokens = counts.collect(), sorted(r["token"] for r in fit.weights.collect())
+    x, c = np.zeros((41, len(tokens))), np.array([*[i % 2 for i in range(40)], 0])
+    for r in rows:
+        x[r["id"], tokens.index(r["token"])] = r["n"]
+    w = {r["token"]: r["w"] for r in fit.weights.collect()}
+    loss, gradient = quasi_newton.dense_loss(x, c, np.array([w[t] for t in tokens]), 0.0)
+    assert fit.steps[0][1] == pytest.approx(np.log(2)) and fit.steps[-1][1] == pytest.approx(loss)
+    assert fit.steps[-1][2] == pytest.approx(np.linalg.norm(gradient))
