@@ -22,6 +22,7 @@ from tabulearn.functions.columns import feature_array, literal_array
 from tabulearn.session import checkpointed
 
 MAX_PIVOTS = 512
+ROUTED = 4096  # queries that are looked at together, and rows that are handed on together
 
 
 @dataclass
@@ -64,30 +65,56 @@ def _with_nearest_pivot(df, pivots):
     return df.mapInArrow(run, _with_fields(schema, cell=T.IntegerType(), far=T.DoubleType()))
 
 
+def cells_to_visit(x: np.ndarray, cells: Cells, k: int):
+    """(row, cell) pairs: each row with every cell that may hold one of its k nearest rows."""
+    d = distances(x, cells.pivots)
+    tol = slack(x, cells.pivots)
+    bound = (d + cells.near).min(1)
+    by_reach = np.argsort(d + cells.radius, axis=1)
+    reach = np.take_along_axis(d + cells.radius, by_reach, 1)
+    have = cells.count[by_reach].cumsum(1)
+    enough = (have >= k)
+    first = enough.argmax(1)
+    from_cells = np.where(enough.any(1), reach[np.arange(len(x)), first], np.inf)
+    bound = np.minimum(bound, from_cells)
+    return np.nonzero((d - cells.radius <= bound[:, None] + tol) & (cells.count > 0))
+
+
+def routed_batches(batches, cells: Cells, k: int):
+    """The batches with each row once per cell it visits. Queries are looked at some at a time and handed on in small batches: a row may visit every cell."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROUTED):
+            part = batch.slice(start, ROUTED)
+            q, c = cells_to_visit(matrix(part.column("x")), cells, k)
+            for i in range(0, len(q), ROUTED):
+                yield part.take(pa.array(q[i:i + ROUTED])).append_column("cell", pa.array(c[i:i + ROUTED].astype("int32")))
+
+
 def _routes(df, cells: Cells, k: int):
     """Repeat each query once per cell that may hold one of its k nearest rows."""
-    schema = df.schema
+    return df.mapInArrow(lambda batches: routed_batches(batches, cells, k), _with_fields(df.schema, cell=T.IntegerType()))
+
 
+def _visits(df, cells: Cells, k: int) -> np.ndarray:
+    """How many queries visit each cell."""
     def run(batches):
+        n = np.zeros(len(cells.count), dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("x"))
-            d = distances(x, cells.pivots)
-            tol = slack(x, cells.pivots)
-            bound = (d + cells.near).min(1)
-            by_reach = np.argsort(d + cells.radius, axis=1)
-            reach = np.take_along_axis(d + cells.radius, by_reach, 1)
-            have = cells.count[by_reach].cumsum(1)
-            enough = (have >= k)
-            first = enough.argmax(1)
-            from_cells = np.where(enough.any(1), reach[np.arange(len(x)), first], np.inf)
-            bound = np.minimum(bound, from_cells)
-            q, c = np.nonzero((d - cells.radius <= bound[:, None] + tol) & (cells.count > 0))
-            table = batch.take(pa.array(q))
-            yield table.append_column("cell", pa.array(c.astype("int32")))
-
-    return df.mapInArrow(run, _with_fields(schema, cell=T.IntegerType()))
+            for start in range(0, batch.num_rows, ROUTED):
+                n += np.bincount(cells_to_visit(matrix(batch.slice(start, ROUTED).column("x")), cells, k)[1], minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n).astype("int32")), pa.array(n[n > 0])], ["cell", "n"])
+
+    visits = np.zeros(len(cells.count), dtype=int)
+    for r in df.select("x").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        visits[r["cell"]] = r["n"]
+    return visits
+
+
+def vectors(df: DataFrame, features):
+    """The features as doubles, or as floats if that is what their column holds: half of what is moved."""
+    x = feature_array(features)
+    kind = df.schema[features].dataType if isinstance(features, str) else None
+    return x.cast(kind) if kind == T.ArrayType(T.FloatType(), True) or kind == T.ArrayType(T.FloatType(), False) else x
 
 
 def nearest_in_tile(qid, qx, tid, tx, k, skip_same_id):
@@ -121,8 +148,8 @@ def knn_join(queries: DataFrame, train: DataFrame, query_id: str, train_id: str,
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), feature_array(features).alias("x"))
-    t = train.select(F.col(train_id).cast("long").alias("tid"), feature_array(features).alias("x"))
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), vectors(queries, features).alias("x"))
+    t = train.select(F.col(train_id).cast("long").alias("tid"), vectors(train, features).alias("x"))
     train_rows, n_train = t, t.count()
     if not n_train:
         raise ValueError("no rows to learn from")
@@ -137,10 +164,9 @@ def knn_join(queries: DataFrame, train: DataFrame, query_id: str, train_id: str,
     pivots = np.array([r["x"] for r in train_rows.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).collect()], dtype=float)
     homed = checkpointed(_with_nearest_pivot(t, pivots))
     cells = _cell_stats(homed, pivots, need)
-    routed = checkpointed(_routes(q, cells, need))
-    visits = np.zeros(n_pivots, dtype=int)
-    for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect():
-        visits[r["cell"]] = r["n"]
+    # Counted first and sent when compared: written out, they would be the queries once per cell.
+    visits = _visits(q, cells, need)
+    routed = _routes(q, cells, need)
     row_tiles = literal_array(-(-cells.count // tile_rows), "int")
     query_tiles = literal_array(-(-visits // tile_rows), "int")
     left = routed.withColumn("qt", F.pmod(F.xxhash64("qid"), F.get(query_tiles, "cell")).cast("int")).withColumn(

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,13 @@ def test_impossible_sequences_have_no_likelihood(spark, options):
     possible = sequence.pack_sequences(df.where("s in (0, 3)"), "s", ["t"], "id", "o", p.symbols)
     got, want = sequence.expected_counts(runs, p), sequence.expected_counts(possible, p)
     assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_queries_that_visit_every_cell_are_handed_on_in_small_batches(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 8))
+    cells = neighbors.Cells(x[:64], np.full(64, 8), np.full(64, 9.0), np.full(64, 9.0))
+    monkeypatch.setattr(neighbors, "ROUTED", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(list(x))], ["qid", "x"])
+    got = list(neighbors.routed_batches([batch], cells, 3))
+    assert max(b.num_rows for b in got) <= 50 and sum(b.num_rows for b in got) == 500 * 64
