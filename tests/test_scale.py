@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabulearn.functions import tables
+from tabulearn.functions import batches, tables
 from tabulearn.operators import boosting, dual_svm, kernels, linear, maxent, metrics, naive_bayes, neighbors, prep, quasi_newton, sequence, splits, trees
 from tabulearn.plans import catalog
 from tabulearn.session import laid_out
@@ -326,3 +326,24 @@ def test_blocks_of_a_dual_fit_stay_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in plan  # nor is the state of the first round dealt anew
+
+
+def test_char_ngrams_are_counted_in_blocks_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abé𝄞"), rng.integers(1, 6))) for _ in range(rng.integers(1, 30))) for _ in range(30)]
+    rows = [*enumerate(texts), (30, ""), (31, None), (32, " \t x\n")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = {}
+    for i, text in rows:
+        for w in (text or "").lower().split():
+            for n in (1, 2, 3):
+                for j in range(len(w) + 3 - n):
+                    key = i, f" {w} "[j:j + n]
+                    want[key] = want.get(key, 0) + 1
+    for letters in (40, 10**6):
+        monkeypatch.setattr(batches, "GRAM_LETTERS", letters)
+        out = prep.char_ngrams(df, "id", "text")
+        assert {(r["id"], r["token"]): r["n"] for r in out.collect()} == want
+    assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+    twice = prep.char_ngrams(df.union(df), "id", "text")  # rows that share an id are counted together
+    assert {(r["id"], r["token"]): r["n"] for r in twice.collect()} == {k: 2 * n for k, n in want.items()}
